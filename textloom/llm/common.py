@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 2_000_000
@@ -50,8 +50,21 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def hash_sample(rows: DataFrame, label_col: str, most: int) -> list[tuple[object, bytes]]:
+    """At most ``most`` (label, UTF-8 text) pairs, shared evenly by the labels, in a fixed order.
+
+    A hash of the text picks them: labels are counted, rows below a hash bound for some more than
+    the share are kept, and of these, distinct by text, the first ones by hash.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
+    if not counts:
+        return []
+    share = max(1, most // len(counts))
+    bound = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (1.5 * share + 20) / n))]), F.col(label_col))
+    h = F.xxhash64("text")
+    some = rows.select(label_col, "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < bound * (1 << 30)).dropDuplicates([label_col, "h"])
+    first = some.withColumn("k", F.row_number().over(Window.partitionBy(label_col).orderBy("h"))).where(F.col("k") <= share)
+    return sorted(((r[0], r[1].encode()) for r in first.select(label_col, "text").collect()), key=lambda x: (str(x[0]), x[1]))
 
 
 # --- Arrow side -------------------------------------------------------------------------------

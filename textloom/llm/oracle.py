@@ -24,3 +24,18 @@ v AS (SELECT *, concat_ws(',', {", ".join(_rule(*x) for x in RULES)}) AS failed_
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, failed_rules = '' AS kept, failed_rules FROM v
 """
+
+_WORDS = r"list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+DECONTAMINATE = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS g FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(k) WHERE len(w) > 0),
+n AS (SELECT DISTINCT n FROM g),
+s AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM d, n, unnest(range(1, len(w) - n + 2)) AS u(k)),
+hit AS (SELECT DISTINCT r, s.n, k, item FROM s JOIN g ON s.g = g.g AND s.n = g.n),
+words AS (SELECT r, count(DISTINCT k + j)::BIGINT AS n_hit FROM (SELECT DISTINCT r, n, k FROM hit), unnest(range(n)) AS v(j) GROUP BY r),
+items AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""

@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.decontaminate import matches, report
+
+    out = report(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.quality_rules import apply_rules
 
@@ -19,9 +26,28 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import language_id as L
+
+    docs = table(spark, sf_dir, "documents")
+    model = L.train(docs.where(~L.held_out()))
+    return L.identify(docs, model).select("doc_id", L.held_out().alias("held_out"), "lang_pred", "score", "family")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.token_counts import token_counts
+
+    out = token_counts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.transform("sections", lambda x: x["n_tokens"]).alias("section_tokens"))
+
+
 QUERIES = {
+    "op6_language_id": op6_language_id,
+    "op10_token_counts": op10_token_counts,
+    "op2_decontaminate": op2_decontaminate,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE = {
+    "op2_decontaminate": oracle.DECONTAMINATE,
     "op7_quality_rules": oracle.QUALITY_RULES,
 }
