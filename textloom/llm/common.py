@@ -129,12 +129,29 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
     """Prefix sums from which span_hash() takes the fingerprint of any byte span."""
-    power, _ = _powers(len(buf) + 1)
-    out = np.zeros(len(buf) + 1, U)
-    np.cumsum(_VALUE[buf] * power[: len(buf)], out=out[1:])
+    return prefix_sums(_VALUE[buf])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """prefix_hash() over a sequence of 64-bit values."""
+    power, _ = _powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, U)
+    np.cumsum(values * power[: len(values)], out=out[1:])
     return out
 
 
+def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indexes start[k], start[k] + 1, ... (count[k] of them), for each k in turn."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
+
+
+def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array over the bytes of data, cut at the ends (byte offsets)."""
+    off = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of the spans; equal bytes give equal fingerprints anywhere."""
     return mix64((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start] + (end - start).astype(U))

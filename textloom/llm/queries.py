@@ -41,7 +41,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.transform("sections", lambda x: x["n_tokens"]).alias("section_tokens"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import pii
+
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import quality_classifier as Q
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = Q.train(docs, labels.where(~Q.held_out()))
+    out = Q.classify(docs, model)
+    return out.select("doc_id", Q.held_out().alias("held_out"), "score", (F.col("score") >= Q.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes, decodes and compares; NULL texts count as empty."""
+    from textloom.llm import pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = pieces.decode(pieces.encode(docs, keep_text=True))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.octet_length("text").cast("long").alias("n_bytes"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
 QUERIES = {
+    "op9_pieces": op9_pieces,
+    "op3_pii": op3_pii,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_language_id": op6_language_id,
     "op10_token_counts": op10_token_counts,
     "op2_decontaminate": op2_decontaminate,
