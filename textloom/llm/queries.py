@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm import common, context_tree
+
+    out = context_tree.score(table(spark, sf_dir, "documents"), common.crc_mod("doc_id", 7) != 2)
+    return out.select("doc_id", (common.crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.decontaminate import matches, report
 
@@ -70,6 +77,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_tree": op1_context_tree,
     "op9_pieces": op9_pieces,
     "op3_pii": op3_pii,
     "op4_quality_classifier": op4_quality_classifier,
