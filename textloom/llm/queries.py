@@ -33,6 +33,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm import language_id as L
 
@@ -77,6 +83,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op1_context_tree": op1_context_tree,
     "op9_pieces": op9_pieces,
     "op3_pii": op3_pii,
