@@ -1,3 +1,63 @@
-STAGES = []
+"""A training corpus from raw documents: quality, near duplicates, benchmark leaks, personal data
+and encoding, in this order.
+
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
+docs. run() writes each stage's result into the shared folder and goes on from there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm import common, decontaminate, jaccard_join, pieces, pii, quality_classifier
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold; learned from the labelled ones among docs."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.keep(docs, quality_classifier.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates."""
+    return jaccard_join.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items; the others go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="drop")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked; n_chars follows the text."""
+    out = pii.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and whether they decode to its text (null: the empty text)."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = pieces.decode(pieces.encode(texts, keep_text=True))
+    return out.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("personal_data", personal_data),
+    ("encoding", encoding),
+]
+
+#: The trained stages cannot be written in SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.materialize(docs)
+    return docs

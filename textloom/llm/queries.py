@@ -73,6 +73,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", Q.held_out().alias("held_out"), "score", (F.col("score") >= Q.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes, decodes and compares; NULL texts count as empty."""
     from textloom.llm import pieces
@@ -83,6 +90,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op1_context_tree": op1_context_tree,
     "op9_pieces": op9_pieces,
