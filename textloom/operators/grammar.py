@@ -35,7 +35,10 @@ S0_VALID = (
 
 
 def _literal(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return spark.createDataFrame(list(rows), schema)
+    """A small table of literals, without a Python worker."""
+    names = [x.split() for x in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, names, strict=True)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
 
 
 def s0(spark: SparkSession) -> DataFrame:
@@ -88,6 +91,16 @@ def sample_id(level: Column, index: Column, seed: int, mutated: bool = False) ->
     return F.concat(level, F.lit("_m" if mutated else "_t"), index.cast("string"), F.lit(f"_seed{seed}"))
 
 
+#: Partitions of a level.
+PARTS = 4
+#: Levels below this one have 202 rows at most, whatever the leaves: they are broadcast.
+SMALL_DEPTH = 3
+
+
+def _side(df: DataFrame, depth: int) -> DataFrame:
+    return F.broadcast(df) if depth < SMALL_DEPTH else df
+
+
 # --- enumeration ------------------------------------------------------------------------------
 
 
@@ -97,12 +110,12 @@ def props(spark: SparkSession, depth: int, leaves: str = "deepest") -> DataFrame
     leaves: "true" (only true), "deepest" (false also, at depth 0 only), "both" (false anywhere).
     """
     out = _literal(spark, [("true", "true", None, None)] + ([("false", "false", None, None)] if leaves != "true" else []), "key string, op string, left_key string, right_key string")
-    for _ in range(depth):
-        a, b = out.select(F.col("key").alias("l")), out.select(F.col("key").alias("r"))
+    for d in range(depth):
+        a, b = out.select(F.col("key").alias("l")), _side(out.select(F.col("key").alias("r")), d)
         ops = _literal(spark, [("and",), ("or",)], "op string")
         inner = a.crossJoin(b).crossJoin(F.broadcast(ops)).select(F.format_string("(%s %s %s)", "op", "l", "r").alias("key"), "op", F.col("l").alias("left_key"), F.col("r").alias("right_key"))
         leaf = [("true", "true", None, None)] + ([("false", "false", None, None)] if leaves == "both" else [])
-        out = _literal(spark, leaf, "key string, op string, left_key string, right_key string").unionByName(inner)
+        out = _literal(spark, leaf, "key string, op string, left_key string, right_key string").unionByName(inner).coalesce(PARTS)
     return out
 
 
@@ -112,11 +125,11 @@ def inhabited(spark: SparkSession, depth: int, leaves: str = "deepest") -> DataF
     q = _literal(spark, [("true", "MTrue.intro")], "prop string, proof string")
     for d in range(depth):
         a, b = q.toDF("lp", "lq"), q.toDF("rp", "rq")
-        p = props(spark, d, leaves).select(F.col("key").alias("other"))
-        both = a.crossJoin(b).select(F.format_string("(and %s %s)", "lp", "rp").alias("prop"), F.format_string("(MAnd.intro %s %s)", "lq", "rq").alias("proof"))
+        p = _side(props(spark, d, leaves).select(F.col("key").alias("other")), d)
+        both = a.crossJoin(_side(b, d)).select(F.format_string("(and %s %s)", "lp", "rp").alias("prop"), F.format_string("(MAnd.intro %s %s)", "lq", "rq").alias("proof"))
         left = a.crossJoin(p).select(F.format_string("(or %s %s)", "lp", "other").alias("prop"), F.format_string("(MOr.inl %s)", "lq").alias("proof"))
         right = b.crossJoin(p).select(F.format_string("(or %s %s)", "other", "rp").alias("prop"), F.format_string("(MOr.inr %s)", "rq").alias("proof"))
-        q = _literal(spark, [("true", "MTrue.intro")], "prop string, proof string").unionByName(both).unionByName(left).unionByName(right)
+        q = _literal(spark, [("true", "MTrue.intro")], "prop string, proof string").unionByName(both).unionByName(left).unionByName(right).coalesce(PARTS)
     return q
 
 
