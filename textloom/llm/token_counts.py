@@ -62,7 +62,7 @@ def line_sections(text: bytes) -> np.ndarray:
 def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "majority") -> tuple[np.ndarray, int]:
     """Section of each token, and how many tokens cross a boundary. Tokens and sections partition
     the same bytes; both are given by their ends."""
-    starts = np.concatenate(([0], token_ends[:-1])).astype(np.int64)
+    starts = np.concatenate(([0], token_ends))[:-1].astype(np.int64)
     first = np.searchsorted(section_ends, starts, "right")
     last = np.searchsorted(section_ends, token_ends - 1, "right")
     crossing = np.flatnonzero(first != last)
