@@ -86,7 +86,7 @@ def test_process_checker(spark):
 def test_bpe_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("the theme of the theorem é 12  x",), (None,), ("",)], "t string")
     merges = bpe.train(df, "t", 300)
-    assert (b"t", b"h") in merges
+    assert (b"h", b"e") in merges
     bpe.save(spark, merges, str(tmp_path / "m"))
     assert bpe.load(spark, str(tmp_path / "m")) == merges
     ids = df.withColumn("i", bpe.encode(spark, F.col("t"), merges))

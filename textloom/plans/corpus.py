@@ -57,10 +57,10 @@ def mutants(samples: DataFrame, n: int, seed: int) -> DataFrame:
 def build(spark: SparkSession, per_level: int, mutations: int, seed: int, policy: R.Policy = R.Policy()) -> DataFrame:
     """Samples with split, status, failure_class, messages, kernel_axioms and mode. S0 rows have no
     structure; their verdict is looked up in the table of surface statements."""
-    first = originals(spark, per_level, seed)
+    first = io.materialize(originals(spark, per_level, seed))
     every = dedup.keep_first(first.unionByName(mutants(first, mutations, seed)), T.normalized_fingerprint(F.col("source")), "sample_id")
-    placed = splits.split(every, "sample_id", seed, parts=8)
-    relation = grammar.inhabited(spark, 3, "both")
+    placed = io.materialize(splits.split(io.materialize(every), "sample_id", seed, parts=8))
+    relation = io.materialize(grammar.inhabited(spark, 3, "both").distinct())
     check = verify.relation_checker(relation)
 
     def checker(df: DataFrame) -> DataFrame:

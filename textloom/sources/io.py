@@ -5,6 +5,8 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -23,6 +25,16 @@ def sample_schema() -> T.StructType:
     return T.StructType.fromDDL(SAMPLE)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes a table into the shared folder (spark.checkpoint.dir; a local one only where none is
+    set) and reads it back, so that what follows does not compute it again."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-")
+    path = f"{base}/textloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, malformed ones fail (or as ``mode`` says)."""
     reader = spark.read.option("mode", mode)
