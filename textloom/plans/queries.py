@@ -670,7 +670,7 @@ def session_stream(spark, d):
     import uuid
 
     where = f"{base}/textloom/{uuid.uuid4().hex}"
-    q = S.replies(requests).writeStream.format("parquet").outputMode("append").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    q = S.replies(requests).writeStream.format("parquet").outputMode("append").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(once=True).start()  # with timeouts on, availableNow would never end
     q.awaitTermination()
     return spark.read.schema(S.REPLY).parquet(f"{where}/out")
 
