@@ -7,6 +7,7 @@ chunks of about ``CHUNK`` bytes, so a worker's memory does not depend on the tab
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 U = np.uint64
 
 
@@ -46,7 +47,14 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of Arrow batches, which otherwise hold 10,000 texts of any length."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -80,6 +88,17 @@ def packed(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK)
         cuts = np.flatnonzero(np.diff(part)) + 1
         for s, e in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
             yield b.slice(s, e - s)
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are reused, and what one task has freed would
+    stay with its worker while the next stage's tasks run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -118,7 +137,7 @@ _POW = {"n": 0}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2**64 and of its inverse, at least n of them."""
     if _POW["n"] < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         for name, b in (("pow", _BASE), ("inv", pow(_BASE, -1, 1 << 64))):
             x = np.full(n, b, U)
             x[0] = 1

@@ -34,7 +34,7 @@ GRAM, WORD = 0, 1
 #: Most table entries that are broadcast at once (about 12 bytes each); more take another pass.
 SHARD = 6_000_000
 #: A task sends its counts when it holds so many.
-HELD = 3_000_000
+HELD = 1_500_000
 LOG10_2 = np.log10(2.0)
 
 BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -111,7 +111,7 @@ def gather(docs: DataFrame, bits: int) -> DataFrame:
 
     def count(batches):
         held, n = {GRAM: [], WORD: []}, 0
-        for b in C.packed(batches):
+        for b in C.packed(batches, limit=C.CHUNK // 2):
             learn = b.column(2).to_pylist()
             text = C.texts(b.column(1))
             for flag in (True, False):
@@ -154,7 +154,7 @@ def gather(docs: DataFrame, bits: int) -> DataFrame:
             yield out()
 
     sent = docs.mapInArrow(count, BLOCK_DDL)
-    return C.materialize(sent.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(unite, BLOCK_DDL))
+    return C.materialize(sent.repartition(1 << bits, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(unite, BLOCK_DDL))
 
 
 # --- the tree ---------------------------------------------------------------------------------
@@ -327,8 +327,8 @@ def tables(shared) -> tuple:
     key = id(shared.value)
     if key not in _TABLES:
         _TABLES.clear()
-        (gk, gv), (wk, wv) = shared.value
-        _TABLES[key] = (C.Lookup(gk), gv, C.Lookup(wk), np.log10(wv + 1.0))
+        (gk, gv), (wk, known) = shared.value
+        _TABLES[key] = (C.Lookup(gk), gv, C.Lookup(wk), known)
     return _TABLES[key]
 
 
@@ -341,7 +341,7 @@ def partial(docs: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         gram, logs, word, known = tables(shared)
-        for b in C.packed(batches, 2):
+        for b in C.packed(batches, 2, C.CHUNK // 2):
             text = C.texts(b.column(2))
             buf, start, coded = layout(text)
             k = gram(C.mix64(grams(buf)))
@@ -366,6 +366,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     to learn from, every bit has probability 1/2. Repeated rows give repeated rows.
     """
     spark = docs.sparkSession
+    C.small_batches(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     bits = bits or max(4, min(12, int(given.rdd.getNumPartitions()).bit_length()))
     every = gather(given, bits)
@@ -387,7 +388,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         own = [x[k] if k < len(x) else [] for x in (gram_shards, word_shards)]
         g = collected(probs.where(F.col("bucket").isin(own[0])), "logs", np.float32, True)
         w = collected(words.where(F.col("bucket").isin(own[1])), "counts", np.int64, False)
-        part = partial(rows, spark.sparkContext.broadcast((g, w)))
+        part = partial(rows, spark.sparkContext.broadcast((g, (w[0], np.log10(w[1] + 1.0)))))
         out = part if out is None else out.unionByName(part)
     if not single:
         out = out.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_words")], *[F.sum(c).alias(c) for c in ("n_found", "base", "score")])
