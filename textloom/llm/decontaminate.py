@@ -276,6 +276,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, action: str = "drop", id_co
     """
     spark = docs.sparkSession
     blocks = item_blocks(items, item_col, item_text, block_words)
+    C.small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     if len(blocks) > 1:
         found = report(matches(docs, items, id_col, text_col, item_col, item_text, window, block_words), coverage).where("contaminated").select(F.col("doc_id").alias("__id"), "starts", "ends")

@@ -344,6 +344,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     The models are learned as in personal_data(); the spans of a row are then found anew in the
     same pass that masks them, so documents are not shuffled.
     """
+    C.small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(train(C.materialize(find(docs, id_col, text_col)))), docs.columns.index(text_col)
 
     def clean(t: str | None) -> str | None:

@@ -184,6 +184,7 @@ def keep(docs: DataFrame, model: Network | None, text_col: str = "text", thresho
     """Rows of docs, all columns, whose score reaches the threshold; all rows without a model."""
     if model is None:
         return docs
+    C.small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
