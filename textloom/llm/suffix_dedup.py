@@ -35,9 +35,11 @@ LENGTH, GRAM = 100, 24
 WINDOW = LENGTH - GRAM + 1
 HALF = LENGTH // 2
 #: A task sends its runs when it holds so many; a gram with HOT different runs among them is hot.
-HELD, HOT = 1_000_000, 256
+HELD, HOT = 400_000, 256
+#: Bytes of text whose positions are ranked at once.
+SCAN = 400_000
 #: Texts are taken in pieces of so many positions (the strings of a piece overlap the next).
-PIECE = 4_000_000
+PIECE = 1_000_000
 INDEX_BITS = U(23)
 SEEN, BY_GRAM, BY_RUN, MARK = 0, 1, 2, 3  # kinds of blocks
 
@@ -119,7 +121,8 @@ def runs(doc: np.ndarray, base: np.ndarray, docs: list[bytes]) -> Runs:
     count = np.diff(np.append(head, len(own)))
     start, a, own = place[head], anchor[head], own[head]
     run = C.mix64(C.span_hash(prefix, start, start + count - 1 + LENGTH) + (a - start).astype(U))
-    return Runs(gram[a], run, doc[own], start - off[own] + base[own], (a - start).astype(np.uint8), (count - 1).astype(np.uint8))
+    # anchors have small hashes: mixed again, they spread evenly over the buckets
+    return Runs(C.mix64(gram[a]), run, doc[own], start - off[own] + base[own], (a - start).astype(np.uint8), (count - 1).astype(np.uint8))
 
 
 # --- blocks -----------------------------------------------------------------------------------
@@ -209,6 +212,7 @@ def grouped(batches, finish):
             kinds.setdefault(kind, []).append(data)
     if at is not None:
         yield from finish(kinds)
+    C.trim()
 
 
 # --- the last ranking -------------------------------------------------------------------------
@@ -264,7 +268,7 @@ CONTEXT, POSITION, DONE = 0, 1, 2
 
 def open_runs(batches, bits: int):
     """(doc_id, text, left) to blocks: bytes of runs by gram; positions of hot runs by rank."""
-    for b in C.packed(batches):
+    for b in C.packed(batches, limit=SCAN):
         text = C.texts(b.column(1))
         buf, off = C.joined(text)
         rows, doc, of = [], [], []
@@ -281,7 +285,7 @@ def open_runs(batches, bits: int):
             begin = start[cold] + of[cold]
             size = more[cold] + LENGTH
             anchors = begin + offset[cold]
-            gram = C.span_hash(C.prefix_hash(buf), anchors, anchors + GRAM)
+            gram = C.mix64(C.span_hash(C.prefix_hash(buf), anchors, anchors + GRAM))
             bucket = (gram >> U(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
@@ -327,25 +331,22 @@ def rank_positions(kinds: dict[int, list[bytes]]):
 def repeated(docs: DataFrame, bits: int | None = None, most_held: int = HELD, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """(doc_id, spans: packed start and end pairs) of what repeats, several rows for a document;
     for (doc_id, text) with unique non-null ids, or equal rows."""
+    C.small_batches(docs.sparkSession)
     parts = int(docs.rdd.getNumPartitions())
     bits = bits or max(4, min(12, parts.bit_length() + 1))
 
     def scan(batches):
         held, n = [], 0
-        for b in C.packed(batches):
+        for b in C.packed(batches, limit=SCAN):
+            group, size = [], 0
             rows = list(pieces(b.column(0).to_pylist(), C.texts(b.column(1)), piece))
-            for k in range(0, len(rows), 2000):
-                own, size = rows[k : k + 2000], 0
-                groups, group = [], []
-                for r in own:
-                    if group and size + len(r[1]) > PIECE:
-                        groups.append(group)
-                        group, size = [], 0
-                    group.append(r)
-                    size += len(r[1])
-                for g in [*groups, group]:
-                    held.append(runs(np.array([x[0] for x in g], np.int64), np.array([x[2] for x in g], np.int64), [x[1] for x in g]))
+            for k, r in enumerate(rows):
+                group.append(r)
+                size += len(r[1])
+                if size >= SCAN or k == len(rows) - 1:
+                    held.append(runs(np.array([x[0] for x in group], np.int64), np.array([x[2] for x in group], np.int64), [x[1] for x in group]))
                     n += len(held[-1])
+                    group, size = [], 0
             if n > most_held:
                 yield from send(held, bits, hot)
                 held, n = [], 0
@@ -355,10 +356,10 @@ def repeated(docs: DataFrame, bits: int | None = None, most_held: int = HELD, ho
         return grouped(batches, lambda kinds: decide({k: [Runs.unpack(x) for x in v] for k, v in kinds.items()}))
 
     sent = docs.mapInArrow(scan, BLOCK_DDL)
-    found = C.materialize(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(first, SPAN_DDL))
+    found = C.materialize(sent.repartition(1 << (bits - 1), "bucket").sortWithinPartitions("bucket").mapInArrow(first, SPAN_DDL))
     left = found.where(F.length("left") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("left").alias("left"))
     opened = docs.join(left, docs.doc_id == left.id).select("doc_id", "text", "left").mapInArrow(lambda batches: open_runs(batches, bits), BLOCK_DDL)
-    last = opened.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: grouped(batches, rank_positions), SPAN_DDL)
+    last = opened.repartition(1 << (bits - 1), "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: grouped(batches, rank_positions), SPAN_DDL)
     return C.materialize(found.where(F.length("spans") > 0).select("doc_id", "spans").unionByName(last.select("doc_id", "spans")))
 
 
