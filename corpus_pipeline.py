@@ -38,8 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and whether they decode to its text (null: the empty text)."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    out = pieces.decode(pieces.encode(texts, keep_text=True))
-    return out.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.col("text")).alias("lossless"))
+    return pieces.encode(texts, check=True).select("doc_id", "n_tokens", "ids", "lossless")
 
 
 STAGES = [

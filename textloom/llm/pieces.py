@@ -244,23 +244,25 @@ def document_key(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep_text: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep_text: bool = False, check: bool = False) -> DataFrame:
     """Per row of docs: doc_id, ids (32-bit little-endian integers) and n_tokens of the whole text.
 
     Null and empty texts have no ids. The id is the document's key; rows with equal ids and texts
     get equal ids of pieces. With dropout 0 this is the model's own encoding. keep_text adds the
-    column text.
+    column text; check decodes in the same pass and adds the column lossless.
     """
     schema = SCHEMA.append(pa.field("text", pa.string())) if keep_text else SCHEMA
+    schema = schema.append(pa.field("lossless", pa.bool_())) if check else schema
 
     def run(batches):
         p = pieces(model)
-        for b in C.packed(batches):
+        for b in C.packed(batches, limit=C.CHUNK // 2):
             ids, ends = p.encode([t or "" for t in b.column(1).to_pylist()], [document_key(k) for k in b.column(0).to_pylist()], dropout, seed, variants)
             out = [b.column(0), C.binary_column(ids.astype("<i4"), ends * 4), np.diff(np.concatenate(([0], ends)))]
-            yield C.batch(schema, *out, *([b.column(1)] if keep_text else []))
+            same = [[x == y for x, y in zip(p.decode(ids, ends), C.texts(b.column(1)), strict=True)]] if check else []
+            yield C.batch(schema, *out, *([b.column(1)] if keep_text else []), *same)
 
-    return C.id_text(docs, id_col, text_col).mapInArrow(run, DDL + ", text string" * keep_text)
+    return C.id_text(docs, id_col, text_col).mapInArrow(run, DDL + ", text string" * keep_text + ", lossless boolean" * check)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
