@@ -239,6 +239,21 @@ def test_repeats_match_brute_force(spark, options):
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == expect[x.doc_id], x.doc_id
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 2, "most_held": 50}, {"hot": 3, "piece": 150, "bits": 6}])
+def test_repeated_rows_lose_only_what_starts_earlier(spark, options):
+    r = random.Random(18)
+    base = ["".join(r.choice("abc é") for _ in range(300)) for _ in range(4)]
+    rows = [(i, r.choice(base)[r.randrange(100) :] + r.choice(base)[: r.randrange(50, 300)] + "xy" * r.randrange(80)) for i in range(24)]
+    rows += [(100, "".join(r.choice("defg") for _ in range(250))), (101, "ab" * 120)]
+    expect = brute.removed(rows)
+    assert expect[100][1] == 0
+    df = frame(spark, rows + rows[5:9] + rows[-2:] + rows[-2:]).repartition(5)
+    out = suffix_dedup.remove_repeats(df, **options).collect()
+    assert len(out) == len(rows) + 8
+    for x in out:
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == expect[x.doc_id], x.doc_id
+
+
 # --- operator 9 -------------------------------------------------------------------------------
 
 

@@ -83,8 +83,11 @@ class Runs:
         return Runs(gram, *out[2:])
 
     def sort(self) -> tuple[Runs, np.ndarray, np.ndarray]:
-        """By gram, run, document and place; the first of each gram and of each run."""
+        """By gram, run, document and place, one entry for a place; the first of each gram and run."""
         out = self.at(np.lexsort((self.start, self.doc, self.run, self.gram)))
+        # the same place comes again with an equal row, and is no repeat of itself
+        new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (out.start, out.doc, out.run, out.gram)]))[: len(out)]
+        out = out if new.all() else out.at(new)
         gram = np.concatenate(([True], out.gram[1:] != out.gram[:-1])) if len(out) else np.zeros(0, bool)
         run = gram | np.concatenate(([True], out.run[1:] != out.run[:-1])) if len(out) else gram
         return out, gram, run
@@ -236,8 +239,10 @@ class Places:
         return Places(x[0].astype(U), x[1].astype(U), x[2], x[3])
 
     def split(self) -> tuple[Places, Places]:
-        """First of each pair of ranks, and the others."""
+        """First of each pair of ranks, and the others; places of equal rows count once."""
         p = self.take(np.lexsort((self.at, self.doc, self.two, self.one)))
+        new = np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in (p.at, p.doc, p.two, p.one)]))[: len(p.one)]
+        p = p if new.all() else p.take(new)
         first = np.concatenate(([True], (p.one[1:] != p.one[:-1]) | (p.two[1:] != p.two[:-1]))) if len(p.one) else np.zeros(0, bool)
         return p.take(first), p.take(~first)
 
