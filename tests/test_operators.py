@@ -127,3 +127,19 @@ def test_corpus_build(spark):
     assert {r.mode for r in rows if r.split == "TEST"} <= {"batch"}
     assert len({r.sample_id for r in rows}) == len(rows)
     assert json.dumps([r.split for r in rows])
+
+
+def test_bpe_learns_from_all_words_in_both_ways(spark):
+    import random
+
+    r = random.Random(11)
+    head = ["".join(r.choice("abcd") for _ in range(r.randrange(1, 7))) for _ in range(30)]
+    tail = ["".join(r.choice("wxyz") for _ in range(r.randrange(3, 9))) + "qu" for _ in range(600)]
+    rows = [(" ".join([*head * 12, "aaaaa", "aaaa"]),), (" ".join(tail),), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string")
+    counts = [(x["word"].encode(), x["n"]) for x in bpe.word_counts(df, "text").collect()]
+    expect = bpe.learn(counts, 340)
+    assert (b"q", b"u") in expect[:5]
+    assert bpe.train(df, "text", 340) == expect
+    assert bpe.train(df, "text", 340, on_driver=40) == expect
+    assert bpe.learn_in_spark(bpe.word_counts(df, "text"), 340, block=50, renew=5) == expect
