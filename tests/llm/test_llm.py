@@ -294,6 +294,36 @@ def test_heap_and_rounds_agree(model, monkeypatch):
         monkeypatch.setattr(pieces, "LONG", 200)
 
 
+def every_one(unique):
+    """np.unique that takes every unit for a class of its own."""
+    return lambda x, **kw: (x, np.arange(len(x)), np.arange(len(x)), np.ones(len(x), int)) if "return_counts" in kw else unique(x, **kw)
+
+
+def test_dropout_draws_for_every_occurrence(model):
+    n = 4000
+    for w in ("the", "thing", "theorem"):
+        ids, ends = model.encode([w] * n, list(range(n)), 0.1)
+        whole = model.encode([w], [0], 0.0)[0].tolist()
+        got = [ids[s:e].tolist() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        assert len({tuple(x) for x in got}) > 4
+        # at least one merge makes the piece, and each is skipped at the rate
+        assert 0.05 < sum(x != whole for x in got) / n < 0.95
+    inside = model.encode(["the " * n], [1], 0.1)[0]
+    assert len(set(inside.tolist())) > 4
+
+
+def test_shared_draws_equal_those_of_each_unit_alone(model, monkeypatch):
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["the", "things", "é漢x", "theorem", "mathematical", "a", "aaaaaaaaa", "in" * 120]) for _ in range(60)) for _ in range(12)]
+    for rate in (0.05, 0.3, 0.9):
+        ids, ends = model.encode(texts, list(range(12)), rate)
+        together = [ids[s:e].tolist() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        assert together == [model.encode([t], [k], rate)[0].tolist() for k, t in enumerate(texts)]
+        with monkeypatch.context() as m:
+            m.setattr(pieces.np, "unique", every_one(np.unique))
+            assert together == [model.encode([t], [k], rate)[0].tolist() for k, t in enumerate(texts)]
+
+
 # --- operator 10 ------------------------------------------------------------------------------
 
 

@@ -2,14 +2,17 @@
 
 A merge-type vocabulary joins neighbouring symbols, best piece first (on ties, leftmost). Every
 candidate merge that comes up during the agenda's processing is skipped if a hash keyed by the
-seed, the word with its variant, its place and the piece falls below the dropout rate. So the
-same text is segmented in different ways, reproducibly; all of them decode to the same text.
+seed, the document, the unit's number and text, the merge's place and the piece falls below the
+dropout rate. So every occurrence of a word is segmented by draws of its own, reproducibly; all
+segmentations decode to the same text.
 
 Texts are taken in units, a run of spaces with the characters up to the next space, since no
-piece has a space after another character. Which of ``variants`` segmentations a unit gets is
-drawn by a hash of the seed, the document's key and the unit's number. Equal units of a chunk with
-equal variants are encoded once, all of them side by side in numpy; units that are longer than
-``LONG`` symbols go through a heap, which takes n log n steps.
+piece has a space after another character. Units whose draws come out alike share work: equal
+units of a chunk are first encoded without skips, and each occurrence draws for the candidates
+that came up. Those that skip none are done; the others go on by the set of merges they skip,
+alone or with those of an equal set, until nothing new is skipped. All units of a round are
+merged side by side in numpy; units that are longer than ``LONG`` symbols go through a heap,
+which takes n log n steps.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ from textloom.llm import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 20
-VARIANTS = 4
 LONG = 200
 SPACE = "▁"
 U = np.uint64
@@ -36,6 +38,32 @@ DDL = "doc_id long, ids binary, n_tokens long"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64())])
 
 
+class Draws:
+    """Which candidate merges of units are skipped. A unit with ``alone`` draws by its key; any other
+    skips just the candidates of its set, and those that come up are listed in ``met``."""
+
+    def __init__(self, key: np.ndarray, alone: np.ndarray, skipped: np.ndarray, dropout: float):
+        self.key, self.alone, self.dropout = key, alone, dropout
+        self.skipped, self.met = C.Lookup(np.unique(skipped)), []
+
+    def skips(self, unit: np.ndarray, merge: np.ndarray) -> np.ndarray:
+        out = drawn(self.key[unit], merge, self.dropout)
+        at = np.flatnonzero(~self.alone[unit])
+        unit, merge = unit[at], merge[at]
+        out[at] = self.skipped(in_unit(unit, merge)) >= 0
+        self.met.append((unit[~out[at]], merge[~out[at]]))
+        return out
+
+
+def drawn(key: np.ndarray, merge: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether the occurrence with that key skips the merge."""
+    return (C.mix64(key ^ merge) >> U(11)).astype(np.float64) / 2.0**53 < dropout
+
+
+def in_unit(unit: np.ndarray, merge: np.ndarray) -> np.ndarray:
+    return C.mix64(merge + C.mix64(unit.astype(U) + U(1)))
+
+
 class Pieces:
     """Tables of a merge-type model with byte fallback and no normalisation."""
 
@@ -82,21 +110,20 @@ class Pieces:
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return C.mix64((a.astype(np.int64) * 2_000_003 + b).astype(U))
 
-    def candidate(self, a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    def candidate(self, a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray, unit: np.ndarray, draws: Draws) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NEVER if none, or skipped) and piece of merging symbols a and b, which span the
-        characters start to end of the unit with that key."""
+        characters start to end of their unit."""
         k = self.pairs(self._pair(a, b))
         piece = self.merged[np.maximum(k, 0)]
         rank = np.where(k >= 0, self.rank[piece], NEVER)
-        if dropout:
+        if draws.dropout:
             at = np.flatnonzero(k >= 0)
-            h = C.mix64(key[at] ^ C.mix64(((start[at] << 42) ^ (end[at] << 20) ^ piece[at]).astype(U)))
-            rank[at[(h >> U(11)).astype(np.float64) / 2.0**53 < dropout]] = NEVER
+            rank[at[draws.skips(unit[at], C.mix64(((start[at] << 42) ^ (end[at] << 20) ^ piece[at]).astype(U)))]] = NEVER
         return rank, piece
 
     # --- a unit by a heap
 
-    def agenda(self, symbols: list[int], key: int, dropout: float) -> list[int]:
+    def agenda(self, symbols: list[int], unit: int, draws: Draws) -> list[int]:
         """Symbols of one unit after merging, in n log n steps."""
         n = len(symbols)
         sym, nxt, prv, end = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -108,7 +135,7 @@ class Pieces:
                 return
             a = np.array(lefts)
             rights = [nxt[i] for i in lefts]
-            rank, piece = self.candidate(np.array([sym[i] for i in lefts]), np.array([sym[j] for j in rights]), a, np.array([end[j] for j in rights]), np.full(len(a), key, U), dropout)
+            rank, piece = self.candidate(np.array([sym[i] for i in lefts]), np.array([sym[j] for j in rights]), a, np.array([end[j] for j in rights]), np.full(len(a), unit), draws)
             for i, j, r, p in zip(lefts, rights, rank.tolist(), piece.tolist(), strict=True):
                 if r != NEVER:
                     heapq.heappush(heap, (r, i, end[j], p))
@@ -133,12 +160,12 @@ class Pieces:
 
     # --- many units side by side
 
-    def merge(self, sym: np.ndarray, first: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    def merge(self, sym: np.ndarray, first: np.ndarray, draws: Draws) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all units (unit k: sym[first[k]:first[k + 1]]) after merging, and first."""
         count = np.diff(first)
         done_unit, done_sym = [], []
         for k in np.flatnonzero(count > LONG):
-            out = self.agenda(sym[first[k] : first[k + 1]].tolist(), int(key[k]), dropout)
+            out = self.agenda(sym[first[k] : first[k + 1]].tolist(), int(k), draws)
             done_unit.append(np.full(len(out), k))
             done_sym.append(np.array(out, np.int64))
         keep = np.repeat(count <= LONG, count)
@@ -148,7 +175,7 @@ class Pieces:
         rank, piece = np.full(len(sym), NEVER), np.zeros(len(sym), np.int32)
         fresh = np.flatnonzero(unit[:-1] == unit[1:]) if len(sym) else np.zeros(0, int)
         while len(sym):
-            rank[fresh], piece[fresh] = self.candidate(sym[fresh], sym[fresh + 1], start[fresh], end[fresh + 1], key[unit[fresh]], dropout)
+            rank[fresh], piece[fresh] = self.candidate(sym[fresh], sym[fresh + 1], start[fresh], end[fresh + 1], unit[fresh], draws)
             head = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
             best = np.minimum.reduceat(rank, head)
             size = np.diff(np.append(head, len(unit)))
@@ -193,9 +220,62 @@ class Pieces:
         out[odd] = self.byte[byte]
         return out, np.concatenate(([0], np.cumsum(n)))[first]
 
+    # --- equal units together
+
+    def segment(self, sym: np.ndarray, start: np.ndarray, end: np.ndarray, word: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encodings of units (sym[start:end], hash of the text, key of the occurrence): ids, the
+        first one of each encoding, and the encoding of each unit."""
+        ids, size, which = [], [], np.zeros(len(start), np.int64)
+        todo, state, skipped, own, n = np.arange(len(start)), word, np.zeros(0, U), np.zeros(0, np.int64), 0
+        while len(todo):
+            # one class for each text and set of skipped merges; own: the units the merges belong to
+            _, at, cls, many = np.unique(state, return_index=True, return_inverse=True, return_counts=True)
+            unit = todo[at]
+            alone = many == 1
+            place = np.full(len(start), -1)
+            place[unit] = np.arange(len(unit))
+            known = place[own] >= 0
+            draws = Draws(key[unit], alone, in_unit(place[own[known]], skipped[known]), dropout)
+            count = end[unit] - start[unit]
+            out, cut = self.fall_back(*self.merge(sym[C.ragged(start[unit], count)], np.concatenate(([0], np.cumsum(count))), draws))
+            ids.append(out)
+            size.append(np.diff(cut))
+            which[todo] = n + cls
+            n += len(unit)
+            if not dropout:
+                break
+            # the occurrences of classes draw for the candidates that came up
+            met = [np.concatenate([np.zeros(0, t), *(m[k] for m in draws.met)]) for k, t in ((0, np.int64), (1, U))]
+            order = np.argsort(met[0], kind="stable")
+            first = np.searchsorted(met[0][order], np.arange(len(unit) + 1))
+            more = np.diff(first)[cls]
+            merge = met[1][order][C.ragged(first[:-1][cls], more)]
+            place = np.repeat(np.arange(len(todo)), more)
+            new = drawn(key[todo][place], merge, dropout)
+            place, merge = place[new], merge[new]
+            if not len(place):
+                break
+            # a candidate may come up twice in one unit, but is skipped once
+            _, once = np.unique(in_unit(place, merge), return_index=True)
+            place, merge = place[once], merge[once]
+            add = np.zeros(len(todo), U)
+            np.add.at(add, place, C.mix64(merge + U(1)))
+            stay = np.unique(place)
+            # what the unit's class skipped before it skips again
+            of = own[known]
+            old = np.argsort(of, kind="stable")
+            begin = np.searchsorted(of[old], unit[cls[stay]])
+            long = np.searchsorted(of[old], unit[cls[stay]], side="right") - begin
+            inherited = skipped[known][old][C.ragged(begin, long)]
+            own = np.concatenate([todo[place], np.repeat(todo[stay], long)])
+            skipped = np.concatenate([merge, inherited])
+            state = (state + add)[stay]
+            todo = todo[stay]
+        return np.concatenate([np.zeros(0, np.int64), *ids]), np.cumsum(np.concatenate([[0], *size])).astype(np.int64), which
+
     # --- whole texts
 
-    def encode(self, texts: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], keys: list[int], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, and the end of each text's ids. An empty text has none."""
         padded = [" " + t if t else "" for t in texts]
         cp = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32)
@@ -208,17 +288,11 @@ class Pieces:
         start = np.flatnonzero(head)
         end = np.append(start[1:], len(cp))
         first = np.searchsorted(start, off)
-        h = C.span_hash(C.prefix_sums(C.mix64(cp.astype(U) + U(1))), start, end)
-        if dropout and variants > 1:
-            number = np.arange(len(start)) - np.repeat(first[:-1], np.diff(first))
-            own = np.repeat(C.mix64(np.array([k & (2**64 - 1) for k in keys], U) + U(seed)), np.diff(first))
-            variant = C.mix64(own ^ C.mix64(number.astype(U))) % U(variants)
-            h = C.mix64(h + C.mix64(variant + U(1)))
-        h = C.mix64(h ^ C.mix64(np.array([seed], U))[0])
-        key, at, which = np.unique(h, return_index=True, return_inverse=True)
-        count = end[at] - start[at]
-        sym, cut = self.merge(self.symbol[cp[C.ragged(start[at], count)]], np.concatenate(([0], np.cumsum(count))), key, dropout)
-        sym, cut = self.fall_back(sym, cut)
+        word = C.mix64(C.span_hash(C.prefix_sums(C.mix64(cp.astype(U) + U(1))), start, end))
+        number = np.arange(len(start)) - np.repeat(first[:-1], np.diff(first))
+        own = np.repeat(C.mix64(np.array([k & (2**64 - 1) for k in keys], U) + U(seed)), np.diff(first))
+        key = C.mix64(word ^ C.mix64(own ^ C.mix64(number.astype(U))))
+        sym, cut, which = self.segment(self.symbol[cp], start, end, word, key, dropout)
         n = np.diff(cut)[which]
         ids = sym[C.ragged(cut[:-1][which], n)].astype(np.int32)
         return ids, np.concatenate(([0], np.cumsum(n)))[first[1:]]
@@ -244,7 +318,7 @@ def document_key(doc_id) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, keep_text: bool = False, check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, keep_text: bool = False, check: bool = False) -> DataFrame:
     """Per row of docs: doc_id, ids (32-bit little-endian integers) and n_tokens of the whole text.
 
     Null and empty texts have no ids. The id is the document's key; rows with equal ids and texts
@@ -257,7 +331,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches):
         p = pieces(model)
         for b in C.packed(batches, limit=C.CHUNK // 2):
-            ids, ends = p.encode([t or "" for t in b.column(1).to_pylist()], [document_key(k) for k in b.column(0).to_pylist()], dropout, seed, variants)
+            ids, ends = p.encode([t or "" for t in b.column(1).to_pylist()], [document_key(k) for k in b.column(0).to_pylist()], dropout, seed)
             out = [b.column(0), C.binary_column(ids.astype("<i4"), ends * 4), np.diff(np.concatenate(([0], ends)))]
             same = [[x == y for x, y in zip(p.decode(ids, ends), C.texts(b.column(1)), strict=True)]] if check else []
             yield C.batch(schema, *out, *([b.column(1)] if keep_text else []), *same)
