@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from textloom.functions import lexer as L
 from textloom.functions import rules as R
 from textloom.functions import text as T
 from textloom.operators import audit, bpe, dedup, diagnostics, grammar, mutate, sessions, splits, stats, verify
-from textloom.registry import query
+from textloom.registry import ORACLE, QUERIES, query
 from textloom.sources import io
 
 SEED = 42
@@ -207,11 +209,20 @@ N_SOURCES = 3000
 _SOURCES = f"sources AS (SELECT i, {_SOURCE} AS source FROM range({N_SOURCES}) t(i))"
 
 
-def sources(spark: SparkSession) -> DataFrame:
+def sources(spark: SparkSession, d: str | None = None) -> DataFrame:
     """Statements with injected rule breaks."""
     return spark.range(N_SOURCES).withColumnRenamed("id", "i").withColumn("source", F.expr(_SOURCE))
 
 
+#: The same statements, each after the whole text of a document.
+_DOCUMENT_SOURCES = f"sources AS (SELECT i, coalesce(text, '') || chr(10) || {_SOURCE} AS source FROM (SELECT doc_id AS i, text FROM documents))"
+
+
+def document_sources(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("i"), "text")
+    return docs.select("i", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.expr(_SOURCE)).alias("source"))
+
+
 @query("bench_theorems", f"SELECT i, {_THEOREM} AS source FROM range(5000) t(i)")
 def bench_theorems(spark, d):
     return spark.range(5000).select(F.col("id").alias("i"), grammar.bench_theorem(F.col("id")).alias("source"))
@@ -233,8 +244,8 @@ def action_sequence(spark, d):
 
 
 @query("strip_comments", f"WITH {_SOURCES} SELECT i, {_STRIP.format('source')} AS clean FROM sources")
-def strip_comments(spark, d):
-    return sources(spark).select("i", T.strip_code(F.col("source")).alias("clean"))
+def strip_comments(spark, d, rows=sources):
+    return rows(spark, d).select("i", T.strip_code(F.col("source")).alias("clean"))
 
 
 def _tok(word):
@@ -249,8 +260,8 @@ _SAFETY = ", ".join(
 
 
 @query("safety_scan", f"WITH {_SOURCES}, c AS (SELECT i, {_STRIP.format('source')} AS c FROM sources) SELECT i, concat_ws('; ', {_SAFETY}) AS violations FROM c")
-def safety_scan(spark, d):
-    return sources(spark).select("i", F.array_join(R.safety_violations(F.col("source"), POLICY), "; ").alias("violations"))
+def safety_scan(spark, d, rows=sources):
+    return rows(spark, d).select("i", F.array_join(R.safety_violations(F.col("source"), POLICY), "; ").alias("violations"))
 
 
 _ALLOWED = "(m = 'Base' OR starts_with(m, 'Base.'))"
@@ -258,18 +269,18 @@ _FOREIGN = f"list_transform(list_filter({_IMPORTS.format('source')}, lambda m: N
 
 
 @query("import_allowlist", f"WITH {_SOURCES} SELECT i, array_to_string({_IMPORTS.format('source')}, ',') AS imports, array_to_string({_FOREIGN}, '; ') AS violations FROM sources")
-def import_allowlist(spark, d):
-    return sources(spark).select("i", F.array_join(T.imports(F.col("source")), ",").alias("imports"), F.array_join(R.import_violations(F.col("source"), POLICY), "; ").alias("violations"))
+def import_allowlist(spark, d, rows=sources):
+    return rows(spark, d).select("i", F.array_join(T.imports(F.col("source")), ",").alias("imports"), F.array_join(R.import_violations(F.col("source"), POLICY), "; ").alias("violations"))
 
 
 @query("drop_imports", f"WITH {_SOURCES} SELECT i, array_to_string(list_filter(string_split(source, chr(10)), lambda x: NOT starts_with(ltrim(x), 'import ')), chr(10)) AS source FROM sources")
-def drop_imports(spark, d):
-    return sources(spark).select("i", T.drop_imports(F.col("source")).alias("source"))
+def drop_imports(spark, d, rows=sources):
+    return rows(spark, d).select("i", T.drop_imports(F.col("source")).alias("source"))
 
 
 @query("proof_extract", f"WITH {_SOURCES} SELECT i, trim(substr(source, instr(source, ':=') + 2)) AS proof FROM sources WHERE contains(source, ':=')")
-def proof_extract(spark, d):
-    return sources(spark).select("i", T.proof_of(F.col("source")).alias("proof")).where(F.col("proof").isNotNull())
+def proof_extract(spark, d, rows=sources):
+    return rows(spark, d).select("i", T.proof_of(F.col("source")).alias("proof")).where(F.col("proof").isNotNull())
 
 
 _AUDIT_HITS = [(rf"\b{w}\b", f"forbidden marker '{w}'") for w in R.AUDIT_MARKERS] + [(rf"\b{w}\b", f"forbidden declaration '{w}'") for w in R.AUDIT_DECLARATIONS] + [(p, f"mathematical content pattern '{p}'") for p in R.AUDIT_CONTENT]
@@ -282,8 +293,8 @@ def _audit_sql(rel: str, key: str, text: str) -> str:
 
 
 @query("text_audit", f"WITH {_SOURCES}, {_audit_sql('sources', 'i', 'source')} SELECT i, array_to_string(v, '; ') AS violations FROM audit")
-def text_audit(spark, d):
-    return sources(spark).select("i", F.array_join(R.audit_violations(F.col("source"), POLICY), "; ").alias("violations"))
+def text_audit(spark, d, rows=sources):
+    return rows(spark, d).select("i", F.array_join(R.audit_violations(F.col("source"), POLICY), "; ").alias("violations"))
 
 
 @query("audit_rule_counts", f"WITH {_audit_sql('documents', 'doc_id', 'text')} SELECT violation, count(*) AS n FROM (SELECT unnest(v) AS violation FROM audit) GROUP BY 1")
@@ -297,13 +308,13 @@ def audit_rule_counts(spark, d):
     SELECT count(*) AS n_samples, sum(len(v))::BIGINT AS n_violations, (SELECT string_agg(m, ',' ORDER BY m) FROM m) AS imports_seen,
     (SELECT bool_and({_ALLOWED}) FROM m) AS all_imports_allowed, sum(len(v)) = 0 AS ok FROM audit""",
 )
-def audit_summary(spark, d):
-    return audit.summary(sources(spark), "source", POLICY).withColumn("imports_seen", F.array_join("imports_seen", ",")).withColumn("n_violations", F.col("n_violations").cast("long"))
+def audit_summary(spark, d, rows=sources):
+    return audit.summary(rows(spark, d), "source", POLICY).withColumn("imports_seen", F.array_join("imports_seen", ",")).withColumn("n_violations", F.col("n_violations").cast("long"))
 
 
 @query("word_offsets", f"WITH {_SOURCES}, p AS (SELECT i, unnest(regexp_extract_all(source, '(?s)[A-Za-z_][A-Za-z0-9_.!]*|.')) AS word, generate_subscripts(regexp_extract_all(source, '(?s)[A-Za-z_][A-Za-z0-9_.!]*|.'), 1) AS k FROM sources) SELECT i AS id, word, \"offset\" FROM (SELECT i, word, coalesce(sum(length(word)) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM p) WHERE regexp_matches(word, '^[A-Za-z_]')")
-def word_offsets(spark, d):
-    return diagnostics.word_offsets(sources(spark), "i", "source")
+def word_offsets(spark, d, rows=sources):
+    return diagnostics.word_offsets(rows(spark, d), "i", "source")
 
 
 # --- lexer and tokenizer metrics --------------------------------------------------------------
@@ -323,13 +334,13 @@ def lexer_counts(spark, d):
 
 
 @query("lexer_encode", f"WITH {_SOURCES} SELECT i, array_to_string(list_transform({_lex('source')}, lambda t: coalesce({_IDS}[t], 3)), ' ') AS ids FROM sources")
-def lexer_encode(spark, d):
-    return sources(spark).select("i", F.array_join(L.encode(L.tokenize(F.col("source"))).cast("array<string>"), " ").alias("ids"))
+def lexer_encode(spark, d, rows=sources):
+    return rows(spark, d).select("i", F.array_join(L.encode(L.tokenize(F.col("source"))).cast("array<string>"), " ").alias("ids"))
 
 
 @query("lexer_decode", f"WITH {_SOURCES} SELECT i, array_to_string(list_transform({_lex('source')}, lambda t: CASE WHEN {_IDS}[t] IS NULL THEN '<UNK>' ELSE t END), '') AS decoded FROM sources")
-def lexer_decode(spark, d):
-    return sources(spark).select("i", L.decode(L.encode(L.tokenize(F.col("source")))).alias("decoded"))
+def lexer_decode(spark, d, rows=sources):
+    return rows(spark, d).select("i", L.decode(L.encode(L.tokenize(F.col("source")))).alias("decoded"))
 
 
 @query("lexer_encode_unk", f"SELECT lang, sum(len(list_filter(t, lambda x: {_IDS}[x] IS NULL)))::BIGINT AS unknown, sum(len(t))::BIGINT AS tokens FROM (SELECT lang, {_lex('text')} AS t FROM documents) GROUP BY lang")
@@ -554,12 +565,12 @@ def verify_s1(spark, d):
     CASE WHEN s <> '' OR m <> '' THEN 'INVALID_ACTION' WHEN i % 6 < 3 THEN NULL WHEN i % 6 < 5 THEN 'MODEL_FAILURE' ELSE 'RESOURCE_FAILURE' END AS failure_class,
     CASE WHEN s <> '' THEN s WHEN m <> '' THEN m WHEN i % 6 IN (3, 4) THEN 'type mismatch' ELSE '' END AS messages FROM v""",
 )
-def staged_verification(spark, d):
+def staged_verification(spark, d, rows=sources):
     """V1, V2: rules first, then the relation on what is left (structures by index: right, wrong, none)."""
     prop = F.when(F.col("i") % 6 < 5, F.lit("(and true true)"))
     proof = F.when(F.col("i") % 6 < 3, "(MAnd.intro MTrue.intro MTrue.intro)").otherwise("MTrue.intro")
-    rows = sources(spark).withColumn("prop_structure", prop).withColumn("proof_structure", proof)
-    out = verify.staged(rows, "source", verify.relation_checker(grammar.inhabited(spark, 1)), POLICY)
+    told = rows(spark, d).withColumn("prop_structure", prop).withColumn("proof_structure", proof)
+    out = verify.staged(told, "source", verify.relation_checker(grammar.inhabited(spark, 1)), POLICY)
     return out.select("i", "status", "failure_class", F.array_join("messages", "; ").alias("messages"))
 
 
@@ -699,3 +710,22 @@ def corpus_build(spark, d):
     from textloom.plans import corpus
 
     return corpus.build(spark, per_level=200, mutations=100, seed=SEED).select("sample_id", "level", "split", "status", "mutation_type", "parent_id", "source")
+
+
+# --- the statement queries over whole documents -----------------------------------------------
+
+OVER_DOCUMENTS = (
+    "strip_comments",
+    "safety_scan",
+    "import_allowlist",
+    "drop_imports",
+    "proof_extract",
+    "text_audit",
+    "audit_summary",
+    "word_offsets",
+    "lexer_encode",
+    "lexer_decode",
+    "staged_verification",
+)
+for _name in OVER_DOCUMENTS:
+    query(f"{_name}_documents", ORACLE[_name].replace(_SOURCES, _DOCUMENT_SOURCES))(partial(QUERIES[_name], rows=document_sources))
