@@ -102,6 +102,21 @@ def test_base_spans_match_plain_patterns():
     assert pii.base_spans("9" * 50_000 + "@" + "a" * 50_000) == []
 
 
+@pytest.mark.parametrize("action", ["drop", "cut"])
+def test_blocks_of_items_keep_rows_with_null_and_equal_ids(spark, action):
+    r = random.Random(22)
+    item = [words(r, 20, "abcdefgh") for _ in range(4)]
+    items = spark.createDataFrame(list(enumerate(item)), "item_id long, text string")
+    rows = [(None, item[0]), (None, "clean"), (1, item[1]), (1, "clean too"), (2, item[2] + " " + item[3]), (2, item[2] + " " + item[3]), (None, None)]
+    df = frame(spark, rows)
+    one = decontaminate.decontaminate(df, items, action)
+    many = decontaminate.decontaminate(df, items, action, block_words=30)
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect()))
+    assert many.count() == (3 if action == "drop" else 7)
+    assert sorted(map(repr, decontaminate.matches(df, items, block_words=30).collect())) == sorted(map(repr, decontaminate.matches(df, items).collect()))
+
+
+
 def test_personal_data(spark):
     secret = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [(k, f"mail é{k} to a{k}@b.example or +1 (555) 123-45{k:02}") for k in range(20)] + [(50, f'token = "{secret}" here'), (51, "nothing here"), (52, None), (53, "")]

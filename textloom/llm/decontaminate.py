@@ -218,16 +218,23 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     as UTF-8 byte offsets (starts, ends), and the items with a window that occurs.
 
     Null and empty texts have no words and no hits; items without words match nothing; equal items
-    all count. Rows of docs are not merged, unless there are several blocks of items: then rows
-    with equal ids become one.
+    all count. Rows of docs are not merged.
     """
-    out = None
     blocks = item_blocks(items, item_col, item_text, block_words)
+    own = C.id_text(docs, id_col, text_col)
+    if len(blocks) == 1:
+        return _pass(own, docs.sparkSession.sparkContext.broadcast(blocks[0]), window)
+    own = C.materialize(own.withColumn("row", F.monotonically_increasing_id()))
+    found = _united(own.select("row", "text"), blocks, window).withColumnRenamed("doc_id", "row")
+    return own.select("row", "doc_id").join(found, "row").select(*SCHEMA.names)
+
+
+def _united(docs: DataFrame, blocks: list[list], window: int) -> DataFrame:
+    """The matches of several blocks of items, by row number, for (row, text)."""
+    out = None
     for block in blocks:
-        part = _pass(C.id_text(docs, id_col, text_col), docs.sparkSession.sparkContext.broadcast(block), window)
+        part = _pass(docs, docs.sparkSession.sparkContext.broadcast(block), window)
         out = part if out is None else out.unionByName(part)
-    if len(blocks) == 1:
-        return out
     every = out.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.flatten(F.collect_list(F.arrays_zip("first_words", "end_words", "starts", "ends")))).alias("r"),
@@ -272,19 +279,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, action: str = "drop", id_co
     they are, nulls and empty texts among them.
 
     With one block of items this is one pass without a shuffle. With several, documents are joined
-    to their united ranges by id; ids should be unique then, and rows with a null id stay.
+    to their united ranges by row number; both give the same rows.
     """
     spark = docs.sparkSession
     blocks = item_blocks(items, item_col, item_text, block_words)
     C.small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     if len(blocks) > 1:
-        found = report(matches(docs, items, id_col, text_col, item_col, item_text, window, block_words), coverage).where("contaminated").select(F.col("doc_id").alias("__id"), "starts", "ends")
-        joined = docs.join(found, F.col(id_col).cast("long") == F.col("__id"), "left")
+        numbered = C.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+        texts = numbered.select("__row", F.col(text_col).cast("string").alias("text"))
+        found = report(_united(texts, blocks, window), coverage).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+        joined = numbered.join(found, F.col("__row") == F.col("__id"), "left")
         if action == "drop":
             return joined.where(F.col("__id").isNull()).select(*docs.columns)
         cut = F.udf(lambda t, s, e: _cut(t.encode(), list(zip(s, e, strict=True))).decode() if s else t)
-        return joined.withColumn(text_col, cut(text_col, "starts", "ends")).select(*docs.columns)
+        return joined.withColumn(text_col, cut(text_col, "__starts", "__ends")).select(*docs.columns)
     block = spark.sparkContext.broadcast(blocks[0])
 
     def run(batches):
