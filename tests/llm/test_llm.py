@@ -212,6 +212,14 @@ def test_join_loses_no_link(spark, block):
     assert kept == {c for c, *_ in expect.values()}
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    r = random.Random(25)
+    a, b, c = (words(r, 60, "abcdefgh") for _ in range(3))
+    rows = [(5, a), (5, a), (5, a), (7, a), (9, a), (9, b), (None, a), (None, a), (11, ""), (11, ""), (12, c), (3, c)]
+    kept = sorted(map(repr, map(tuple, jaccard_join.one_of_each(frame(spark, rows).select("doc_id", "text")).collect())))
+    assert kept == sorted(map(repr, [(5, a), (9, b), (None, a), (None, a), (11, ""), (11, ""), (3, c)]))
+
+
 def test_posterior_bound():
     least = jaccard_join.least_matches(0.8, 1e-7, 160, 32)
     for n, m in least.items():

@@ -301,8 +301,11 @@ def _verified(placed: DataFrame, threshold: float, tolerance: float) -> DataFram
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs, all columns, with only the row of the smallest id of each class; rows with a null id
-    stay. Of several rows with that id one stays."""
-    joined = join(docs, id_col, text_col, **kw)
-    gone = C.materialize(joined.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """docs, all columns, with only one row of each class: that of the smallest id, and of several
+    rows with that id one. Rows with a null id and those without words stay."""
+    numbered = C.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    named = numbered.where(F.col(id_col).isNotNull()).select("__row", F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    joined = C.materialize(join(named, "__row", "text", **kw).select(F.col("doc_id").alias("__row"), "class_id"))
+    first = joined.join(named.select("__row", "__id"), "__row").groupBy("class_id").agg(F.min(F.struct("__id", "__row")).alias("first"))
+    gone = joined.join(first.select(F.col("first")["__row"].alias("__row")), "__row", "left_anti").select("__row")
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
