@@ -117,6 +117,14 @@ def test_blocks_of_items_keep_rows_with_null_and_equal_ids(spark, action):
 
 
 
+def test_secret_candidates_are_whole_runs():
+    r = random.Random(33)
+    long = "".join(r.choice("abcXYZ019") for _ in range(5000))
+    for key in ("a" * 70 + "7" * 90, long, "ghp_" + "a1B2" * 9, "sk_live_" + "9zY8" * 6):
+        assert [m.group() for m in pii._WIDE["secret"].finditer(f"x {key}, y")] == [key]
+    assert not pii._WIDE["secret"].search("only_letters_in_here " + "1" * 40 + " __________________ " + "z" * 100_000)
+
+
 def test_personal_data(spark):
     secret = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [(k, f"mail é{k} to a{k}@b.example or +1 (555) 123-45{k:02}") for k in range(20)] + [(50, f'token = "{secret}" here'), (51, "nothing here"), (52, None), (53, "")]

@@ -91,7 +91,7 @@ _WIDE = {
     "email": re.compile(r"[A-Za-z0-9_+-]{1,40}(?:\.[A-Za-z0-9_+-]{1,40}){0,4} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,40}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,12}){1,3}"),
     "phone": re.compile(r"(?<![0-9+.-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z]{0,64}[0-9])(?=[0-9]{0,64}[A-Za-z])[A-Za-z0-9_]{12,128}(?![A-Za-z0-9_])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,}+"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora|Sra?)\.? [A-Z]\w{1,20}(?: [A-Z]\w{1,20}){0,2}"),
 }
 #: A cheap test that says whether a wide pattern can match at all.
