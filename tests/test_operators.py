@@ -26,16 +26,42 @@ def test_leakage(spark):
 
 @pytest.mark.parametrize("n, sizes", [(50, (40, 5, 5)), (53, (42, 5, 6)), (0, (0, 0, 0))])
 def test_split_sizes_and_repeatability(spark, n, sizes):
-    a = splits.split(spark.range(n), "id", 5, parts=3)
-    b = splits.split(spark.range(n).repartition(7), "id", 5, parts=4)
+    a = splits.split(spark.range(n), "id", 5)
+    b = splits.split(spark.range(n).repartition(7), "id", 5)
     got = {r.split: r["count"] for r in a.groupBy("split").count().collect()}
     assert tuple(got.get(k, 0) for k in ("TRAIN", "VALIDATION", "TEST")) == sizes
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
-def test_global_rank_is_a_total_order(spark):
-    rows = splits.global_rank(spark.range(1000).withColumn("k", F.sha2(F.col("id").cast("string"), 256)), [F.col("k")], "r", 5).orderBy("k").collect()
-    assert [r.r for r in rows] == list(range(1, 1001))
+def test_split_of_many_files_with_payload_is_exact(spark, tmp_path):
+    from collections import Counter
+
+    spark.range(100_000).repartition(9).select("id", F.repeat(F.lit("payload "), 3).alias("text"), (F.col("id") % 7).alias("g")).write.parquet(str(tmp_path / "t"))
+    out = splits.split(spark.read.parquet(str(tmp_path / "t")), "id", 3)
+    rows = out.select("id", "split").collect()
+    assert Counter(r.split for r in rows) == {"TRAIN": 80_000, "VALIDATION": 10_000, "TEST": 10_000}
+    import hashlib
+
+    place = {r.id: hashlib.sha256(f"3:{r.id}".encode()).hexdigest() for r in rows}
+    order = sorted(place, key=place.get)
+    expect = {i: "TRAIN" if k < 80_000 else "VALIDATION" if k < 90_000 else "TEST" for k, i in enumerate(order)}
+    assert {r.id: r.split for r in rows} == expect
+
+
+def test_split_keeps_equal_and_null_ids_together(spark):
+    df = spark.createDataFrame([(None,)] * 30 + [(1,)] * 30 + [(k,) for k in range(40)], "id long")
+    out = splits.split(df, "id", 1).collect()
+    assert len(out) == 100 and all(len({r.split for r in out if r.id == i}) == 1 for i in (None, 1))
+    hashes = df.select(splits.hash_order("id", 1).alias("h"))
+    every = sorted(r.h for r in hashes.collect())
+    for few in (1, 5, 10_000):
+        assert [splits.cut_at(hashes, k, few=few) for k in (1, 17, 50, 100)] == [every[k - 1] for k in (1, 17, 50, 100)]
+
+
+def test_first_seen_with_ties(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (2, "b"), (5, "b"), (None, "c"), (None, "c"), (None, None), (3, None)], "i long, k string")
+    kept = dedup.keep_first(df, F.col("k"), "i").collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(1, "a"), (2, "b"), (None, "c"), (None, None), (3, None)]))
 
 
 def test_latency_nearest_rank(spark):

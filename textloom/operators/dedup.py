@@ -9,12 +9,14 @@ from textloom.functions import text as T
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """Rows whose order is the smallest of their key. A grouped minimum combines before the
-    shuffle, so a key with a third of all rows costs no more than others; rows with a null key all stay."""
-    keyed = df.withColumn("__key", key)
-    first = keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min(order).alias("__first")).select(F.col("__first"))
-    kept = keyed.join(first.withColumnRenamed("__first", "__order"), keyed[order] == F.col("__order"), "left_semi")
-    return kept.unionByName(keyed.where(F.col("__key").isNull())).drop("__key")
+    """The row of the smallest order of each key (null is larger than any); of several such rows
+    one. A grouped minimum combines before the shuffle, and join and choice are dealt by key and
+    order together, so a key with a third of all rows costs no more than others; rows with a null
+    key all stay."""
+    keyed = df.withColumn("__key", key).withColumn("__order", F.struct(F.col(order).alias("o")))  # as a struct, null equals null
+    first = keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min(order).alias("o")).select("__key", F.struct("o").alias("__order"))
+    kept = keyed.join(first, ["__key", "__order"], "left_semi").dropDuplicates(["__key", "__order"])
+    return kept.unionByName(keyed.where(F.col("__key").isNull())).select(*df.columns)
 
 
 def duplicate_details(df: DataFrame, key: Column, order: str, kind: str) -> DataFrame:

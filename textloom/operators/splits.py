@@ -1,35 +1,67 @@
-"""Reproducible splits of exact sizes, and ranks over a whole table without one task for all."""
+"""Reproducible splits of exact sizes without sorting the table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources import io
+
 TRAIN, VALIDATION, TEST = "TRAIN", "VALIDATION", "TEST"
+#: Hex digits by which a cut is narrowed at once (4,096 counts), and rows that are then ranked.
+DIGITS, FEW = 3, 5_000
+
 
+def hash_order(id_col: str, seed: int) -> Column:
+    """The key of the pseudo-random order; a null id counts as the empty text."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
 
-def global_rank(df: DataFrame, order: list[Column], to: str = "rank", parts: int = 64) -> DataFrame:
-    """Rank (from 1) in a total order: rows are ranged over partitions, ranked within each, and
-    shifted by the counts of those before (one small row for each partition)."""
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
-    part = F.shiftright("__m", 33)
-    own = ranged.withColumn("__p", part).withColumn("__k", F.col("__m") - F.shiftleft(part, 33) + 1)
-    sizes = own.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return own.join(F.broadcast(before.select("__p", "__before")), "__p").withColumn(to, (F.col("__k") + F.col("__before")).cast("long")).drop("__p", "__k", "__m", "__before")
 
+def cut_at(hashes: DataFrame, rank: int, first: list | None = None, few: int = FEW) -> str:
+    """The hash (column h) of the rank-th row in order, from 1; "" for rank 0.
+
+    Rows are counted by the leading digits of the hash and only the block that holds the rank is
+    looked into further, so what is fetched is bounded and nothing is sorted or shuffled whole.
+    """
+    prefix, left = "", rank
+    if rank < 1:
+        return ""
+    while True:
+        blocks = first if first is not None and not prefix else counts(hashes, prefix)
+        for block, n in blocks:
+            if left <= n:
+                break
+            left -= n
+        prefix = block
+        if n <= few or len(prefix) >= 64:
+            inside = hashes.where(F.col("h").startswith(prefix)).groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(few)
+            for h, k in inside.collect():
+                if left <= k:
+                    return h
+                left -= k
+
+
+def counts(hashes: DataFrame, prefix: str) -> list[tuple[str, int]]:
+    """Rows by the digits that follow a prefix, in order: at most 4,096 of them."""
+    some = hashes.where(F.col("h").startswith(prefix)) if prefix else hashes
+    by = F.substring("h", 1, len(prefix) + DIGITS).alias("b")
+    return sorted((r["b"], r["n"]) for r in some.groupBy(by).agg(F.count("*").alias("n")).collect())
 
-def hash_order(id_col: str, seed: int) -> Column:
-    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")), 256)
 
+def split(df: DataFrame, id_col: str, seed: int, train: float = 0.8, validation: float = 0.1, to: str = "split") -> DataFrame:
+    """A pseudo-random order by a seeded hash of the id: the first floor(n * train) rows are TRAIN,
+    the next floor(n * validation) VALIDATION, the rest TEST.
 
-def split(df: DataFrame, id_col: str, seed: int, train: float = 0.8, validation: float = 0.1, to: str = "split", parts: int = 64) -> DataFrame:
-    """A pseudo-random order by a seeded hash: the first floor(n * train) rows are TRAIN, the next
-    floor(n * validation) VALIDATION, the rest TEST. Ids should be unique."""
-    n = df.count()
+    Two cuts of the order are found from counts over the written hashes; the rows themselves are
+    only compared with them. Sizes are exact if ids are unique; rows with equal ids stay together.
+    """
+    hashes = io.materialize(df.select(hash_order(id_col, seed).alias("h")))
+    first = counts(hashes, "")
+    n = sum(k for _, k in first)
     a, b = int(n * train), int(n * validation)
-    ranked = global_rank(df, [hash_order(id_col, seed), F.col(id_col)], "__rank", parts)
-    return ranked.withColumn(to, F.when(F.col("__rank") <= a, TRAIN).when(F.col("__rank") <= a + b, VALIDATION).otherwise(TEST)).drop("__rank")
+    one, two = cut_at(hashes, a, first), cut_at(hashes, a + b, first)
+    h = hash_order(id_col, seed)
+    return df.withColumn(to, F.when(h <= one, TRAIN).when(h <= two, VALIDATION).otherwise(TEST))
 
 
 def split_groups(df: DataFrame, group_col: str, seed: int, train: float = 0.8, validation: float = 0.1, to: str = "split") -> DataFrame:

@@ -59,7 +59,7 @@ def build(spark: SparkSession, per_level: int, mutations: int, seed: int, policy
     structure; their verdict is looked up in the table of surface statements."""
     first = io.materialize(originals(spark, per_level, seed))
     every = dedup.keep_first(first.unionByName(mutants(first, mutations, seed)), T.normalized_fingerprint(F.col("source")), "sample_id")
-    placed = io.materialize(splits.split(io.materialize(every), "sample_id", seed, parts=8))
+    placed = io.materialize(splits.split(io.materialize(every), "sample_id", seed))
     relation = io.materialize(grammar.inhabited(spark, 3, "both").distinct())
     check = verify.relation_checker(relation)
 

@@ -89,14 +89,14 @@ def duplicate_details(spark, d):
 
 @query("hash_split", f"WITH {_SPLIT} SELECT doc_id, split FROM split")
 def hash_split(spark, d):
-    return splits.split(table(spark, d, "documents").select("doc_id"), "doc_id", SEED, parts=8)
+    return splits.split(table(spark, d, "documents").select("doc_id"), "doc_id", SEED)
 
 
 @query("split_counts", f"WITH {_SPLIT}, kept AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_NORMAL.format('text')}), {_SPLIT.replace('ranked', 'ranked2').replace('split AS', 'split2 AS').replace('FROM documents', 'FROM kept')} SELECT split AS split, count(*) AS n FROM split2 GROUP BY split")
 def split_counts(spark, d):
     """The flagship: fingerprint, first-seen de-duplication, split by hash, counts."""
     docs = dedup.keep_first(table(spark, d, "documents"), T.normalized_fingerprint(F.col("text")), "doc_id").select("doc_id")
-    return stats.counts(splits.split(docs, "doc_id", SEED, parts=8), F.col("split"), "split")
+    return stats.counts(splits.split(docs, "doc_id", SEED), F.col("split"), "split")
 
 
 @query("group_split", f"SELECT doc_id, source, CASE WHEN x < 0.8 THEN 'TRAIN' WHEN x < 0.9 THEN 'VALIDATION' ELSE 'TEST' END AS split FROM (SELECT doc_id, source, ('0x' || substr(sha256('{SEED}:' || source), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM documents)")
@@ -112,7 +112,7 @@ SELECT (count(*) - count(DISTINCT e))::BIGINT AS exact_duplicates, (count(*) - c
 
 @query("leakage_summary", f"SELECT *, exact_duplicates = 0 AND normalized_duplicates = 0 AND test_train_overlap = 0 AND test_validation_overlap = 0 AS ok, exact_duplicates = 0 AND normalized_duplicates = 0 AND structure_duplicates = 0 AND test_train_overlap = 0 AND test_validation_overlap = 0 AS gate_ok FROM ({_LEAK})")
 def leakage_summary(spark, d):
-    docs = splits.split(table(spark, d, "documents"), "doc_id", SEED, parts=8)
+    docs = splits.split(table(spark, d, "documents"), "doc_id", SEED)
     return dedup.leakage(docs, F.col("text"), T.structure_fingerprint(F.col("lang"), F.col("source")), F.col("split"))
 
 
