@@ -212,7 +212,7 @@ def test_join_loses_no_link(spark, block):
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, "one two"), (203, "one  TWO"), (204, " \n")]
     expect = brute.classes(rows)
-    out = jaccard_join.join(frame(spark, rows), block_docs=block).collect()
+    out = jaccard_join.join(frame(spark, rows), block_docs=block, block_signed=block).collect()
     assert len(out) == len(rows)
     for x in out:
         assert (x.class_id, x.rep_id, x.n_copies, x.n_links) == expect[x.doc_id], x
