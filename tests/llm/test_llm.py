@@ -32,11 +32,11 @@ def words(r, n, vocabulary="abcdefgh"):
 # --- operator 1 -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard", [10**6, 9])
-def test_context_tree_is_the_definition(spark, shard):
+@pytest.mark.parametrize("chunk", [10**6, 9])
+def test_context_tree_is_the_definition(spark, chunk):
     rows = [(1, "abab abba"), (2, "abcab"), (3, "abad é"), (4, None), (5, "")]
     tree = brute.ContextTree(["abab abba", "abcab"])
-    out = {r.doc_id: r for r in context_tree.score(frame(spark, rows), F.col("doc_id") < 3, shard=shard).collect()}
+    out = {r.doc_id: r for r in context_tree.score(frame(spark, rows), F.col("doc_id") < 3, chunk=chunk).collect()}
     for i, t in rows:
         assert out[i].score == pytest.approx(tree.log10(t or ""), rel=1e-5)
     assert out[3].n_tokens == 3 and out[3].n_known == 1 and out[3].train_tokens == 5

@@ -9,11 +9,16 @@ depths: p = w0 kt0 + (1 - w0)(w1 kt1 + (1 - w1)(...)).
 The corpus enters through exact counts of (context of five bytes, next byte), gathered over all
 texts: those to be scored take part with count 0, so that every byte to be scored has its entry.
 
-1. Tasks count in numpy and send packed blocks, by the two bytes next to the predicted one.
-2. Blocks are merged as they stream in. A block holds whole subtrees, so weights are computed
-   bottom-up inside a block; only depth 0 and 1 (65,536 nodes at most) meet on the driver.
-3. Blocks give a table from context and byte to log probability. It is broadcast in shards of at
-   most ``SHARD`` entries; a text's score is a sum over its bytes, hence over the shards.
+1. Texts are packed into chunks of about ``PACK`` bytes, written once. Each chunk sends its
+   distinct grams and words with their counts, in blocks by the two bytes next to the predicted one
+   (words: by hash).
+2. A bucket merges its blocks and remembers where each chunk's keys are. It holds whole subtrees,
+   so weights are computed bottom-up inside it; only depth 0 and 1 (65,536 nodes at most) meet on
+   the driver.
+3. Each bucket answers every chunk with the log probabilities of the chunk's own grams, in the
+   order in which they were sent. A chunk joins its answers by number and is scored at once.
+
+No table of the corpus is broadcast or collected, and the texts are read three times at any size.
 
 A text is preceded by five 0xFF bytes and ended by one, which is coded too (0xFF is not in UTF-8).
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +37,22 @@ U = np.uint64
 DEPTH = 5
 TOP = 2
 GRAM, WORD = 0, 1
-#: Most table entries that are broadcast at once (about 12 bytes each); more take another pass.
-SHARD = 6_000_000
-#: A task sends its counts when it holds so many.
+#: Bytes of text in a chunk (a longer text is a chunk of its own).
+PACK = 8_000_000
+#: Keys held before equal ones are merged.
 HELD = 1_500_000
+#: At most two to this power buckets: there are 65,536 pairs of bytes to deal by.
+MOST_BITS = 16
 LOG10_2 = np.log10(2.0)
 
-BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-BLOCK_DDL = "kind int, bucket int, n long, keys binary, counts binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary()))])
+CHUNKS_DDL = "chunk long, ids array<long>, learn array<boolean>, texts array<binary>"
+ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ASKED_DDL = "kind int, bucket int, chunk long, keys binary, counts binary"
+TABLE = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("seen", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
+TABLE_DDL = "kind int, bucket int, total long, seen long, keys binary, counts binary, chunks array<long>, places array<binary>"
+ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("values", pa.binary())])
+ANSWER_DDL = "kind int, bucket int, chunk long, values binary"
 
 
 # --- bytes to counts --------------------------------------------------------------------------
@@ -86,75 +100,103 @@ def bucket_of(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
     return ((C.mix64(keys >> U(8 * (DEPTH - 1))) if kind == GRAM else keys) >> U(64 - bits)).astype(np.int64)
 
 
-def blocks(held: dict[int, list], bits: int):
-    for kind, parts in held.items():
-        keys, counts = merge(parts)
-        if not len(keys):
-            continue
-        b = bucket_of(kind, keys, bits)
-        order = np.argsort(b, kind="stable")
-        keys, counts, b = keys[order], counts[order], b[order]
-        cut = np.searchsorted(b, np.arange((1 << bits) + 1))
-        there = np.flatnonzero(np.diff(cut))
-        yield C.batch(
-            BLOCK,
-            np.full(len(there), kind),
-            there,
-            np.diff(cut)[there],
-            pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in there], pa.binary()),
-            pa.array([counts[cut[k] : cut[k + 1]].tobytes() for k in there], pa.binary()),
-        )
-
-
-def gather(docs: DataFrame, bits: int) -> DataFrame:
-    """Merged counts of (doc_id, text, learn) as blocks, one row for each kind and bucket."""
-
-    def count(batches):
-        held, n = {GRAM: [], WORD: []}, 0
-        for b in C.packed(batches, limit=C.CHUNK // 2):
-            learn = b.column(2).to_pylist()
-            text = C.texts(b.column(1))
-            for flag in (True, False):
-                own = [t for t, x in zip(text, learn, strict=True) if bool(x) == flag]
-                if not own:
-                    continue
-                buf, _, coded = layout(own)
-                k, c = np.unique(grams(buf)[coded[DEPTH:]], return_counts=True)
-                held[GRAM].append((k, c * flag))
-                if flag:
-                    held[WORD].append(np.unique(word_hashes(own)[0], return_counts=True))
-            n += sum(len(x[-1][0]) for x in held.values() if x)
-            if n > HELD:
-                held = {kind: [merge(parts)] for kind, parts in held.items()}
-                n = sum(len(x[0][0]) for x in held.values())
-                if n > HELD // 2:
-                    yield from blocks(held, bits)
-                    held, n = {GRAM: [], WORD: []}, 0
-        yield from blocks(held, bits)
+def pack(docs: DataFrame, limit: int = PACK) -> DataFrame:
+    """(doc_id, text, learn) in chunks: numbers that are unique in the written table, ids, texts."""
+
+    def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out():
+            return C.batch(CHUNKS, [number], [[x for b in held for x in b.column(0).to_pylist()]], [[bool(x) for b in held for x in b.column(2).to_pylist()]], [[x for b in held for x in C.texts(b.column(1))]])
+
+        for b in C.packed(batches, limit=min(limit, C.CHUNK)):
+            n = b.column(1).nbytes
+            if held and size + n > limit:
+                yield out()
+                number, held, size = number + 1, [], 0
+            held.append(b)
+            size += n
+        if held:
+            yield out()
+
+    return C.materialize(docs.mapInArrow(run, CHUNKS_DDL))
+
+
+def keys_of(texts: list[bytes], learn: list[bool]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct keys of a chunk, sorted, and how often the texts to learn from have them."""
+    held, n = {GRAM: [], WORD: []}, 0
+    at, size = 0, np.cumsum([0, *(len(t) + 16 for t in texts)])
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, size[at] + C.CHUNK // 2, "right")) - 1)
+        for flag in (True, False):
+            own = [t for t, x in zip(texts[at:stop], learn[at:stop], strict=True) if x == flag]
+            if not own:
+                continue
+            buf, _, coded = layout(own)
+            for kind, keys in ((GRAM, grams(buf)[coded[DEPTH:]]), (WORD, word_hashes(own)[0])):
+                k, c = np.unique(keys, return_counts=True)
+                held[kind].append((k, c * flag))
+                n += len(k)
+        if n > HELD:
+            held = {kind: [merge(parts)] for kind, parts in held.items()}
+            n = sum(len(x[0][0]) for x in held.values()) // 2
+        at = stop
+    return {kind: merge(parts) for kind, parts in held.items()}
+
+
+def in_buckets(kind: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by bucket, then key; buckets that occur; and where each begins and the last ends."""
+    b = bucket_of(kind, keys, bits)
+    order = np.argsort(b, kind="stable")
+    cut = np.searchsorted(b[order], np.arange((1 << bits) + 1))
+    there = np.flatnonzero(np.diff(cut))
+    return order, there, np.append(cut[there], len(keys))
+
+
+def ask(chunks: DataFrame, bits: int) -> DataFrame:
+    """Keys and counts of every chunk, one row for each kind and bucket that it has."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, learn, texts in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                for kind, (keys, counts) in keys_of(texts, learn).items():
+                    order, there, cut = in_buckets(kind, keys, bits)
+                    keys, counts = keys[order], counts[order].astype(np.int32)
+                    spans = [slice(s, e) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+                    yield C.batch(ASKED, np.full(len(there), kind), there, np.full(len(there), chunk), pa.array([keys[x].tobytes() for x in spans], pa.binary()), pa.array([counts[x].tobytes() for x in spans], pa.binary()))
+
+    return chunks.mapInArrow(run, ASKED_DDL)
+
+
+def gather(chunks: DataFrame, bits: int) -> DataFrame:
+    """One row for each kind and bucket: its keys with the counts of the whole corpus, and for each
+    chunk the places of its keys."""
 
     def unite(batches):
-        at, parts, n = None, [], 0
+        at, rows = None, []
 
         def out():
-            keys, counts = merge(parts)
-            return C.batch(BLOCK, [at[0]], [at[1]], [len(keys)], pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()))
+            keys = [np.frombuffer(k, U) for _, k, _ in rows]
+            every = np.unique(np.concatenate(keys))
+            counts, places = np.zeros(len(every), np.int64), []
+            for k, (_, _, c) in zip(keys, rows, strict=True):
+                place = np.searchsorted(every, k)
+                counts[place] += np.frombuffer(c, np.int32)
+                places.append(place.astype(np.int32).tobytes())
+            return C.batch(TABLE, [at[0]], [at[1]], [int(counts.sum())], [int((counts > 0).sum())], pa.array([every.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), [[x for x, _, _ in rows]], pa.array([places], pa.list_(pa.binary())))
 
         for b in batches:
-            for kind, bucket, keys, counts in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+            for kind, bucket, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if at is not None and at != (kind, bucket):
                     yield out()
-                    parts, n = [], 0
+                    rows = []
                 at = (kind, bucket)
-                parts.append((np.frombuffer(keys, U), np.frombuffer(counts, np.int64)))
-                n += len(parts[-1][0])
-                if n > HELD:
-                    parts = [merge(parts)]
-                    n = len(parts[0][0]) // 2
+                rows.append(row)
         if at is not None:
             yield out()
+        C.trim()
 
-    sent = docs.mapInArrow(count, BLOCK_DDL)
-    return C.materialize(sent.repartition(1 << bits, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(unite, BLOCK_DDL))
+    return C.materialize(ask(chunks, bits).repartition(1 << bits, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(unite, TABLE_DDL))
 
 
 # --- the tree ---------------------------------------------------------------------------------
@@ -278,86 +320,68 @@ def top_tables(blocks_df: DataFrame) -> dict:
     return {"w1": np.exp(kt1 - np.log(2) - w1), "p1": (ones + 0.5) / (n + 1), "w0": np.exp(kt0 - np.log(2) - w0), "p0": (ones0 + 0.5) / (n0 + 1)}
 
 
-PROBS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary())])
-
-
-def probabilities(blocks_df: DataFrame) -> DataFrame:
-    """Blocks of grams and their log10 probabilities (32-bit floats)."""
-    top = blocks_df.sparkSession.sparkContext.broadcast(top_tables(blocks_df))
+def answers(tables: DataFrame) -> DataFrame:
+    """To each chunk and bucket, values of the chunk's keys: log10 probabilities of grams (32-bit
+    floats), log10(count + 1) of words (0: not known)."""
+    top = tables.sparkSession.sparkContext.broadcast(top_tables(tables.where(F.col("kind") == GRAM)))
 
     def run(batches):
         for b in batches:
-            for bucket, keys, counts in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                t = Subtrees(np.frombuffer(keys, U), np.frombuffer(counts, np.int64))
-                yield C.batch(PROBS, [bucket], pa.array([keys], pa.binary()), pa.array([t.log10(top.value).astype(np.float32).tobytes()], pa.binary()))
+            for kind, bucket, keys, counts, chunks, places in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                counts = np.frombuffer(counts, np.int64)
+                values = Subtrees(np.frombuffer(keys, U), counts).log10(top.value).astype(np.float32) if kind == GRAM else np.log10(counts + 1.0)
+                for k in range(0, len(chunks), 256):
+                    some = [values[np.frombuffer(p, np.int32)].tobytes() for p in places[k : k + 256]]
+                    yield C.batch(ANSWER, np.full(len(some), kind), np.full(len(some), bucket), chunks[k : k + 256], pa.array(some, pa.binary()))
 
-    return C.materialize(blocks_df.select("bucket", "keys", "counts").mapInArrow(run, "bucket int, keys binary, logs binary"))
+    return tables.select("kind", "bucket", "keys", "counts", "chunks", "places").mapInArrow(run, ANSWER_DDL)
 
 
 # --- scoring ----------------------------------------------------------------------------------
 
 
-def shards(blocks_df: DataFrame, most: int) -> list[list[int]]:
-    """Buckets in lists of at most ``most`` entries together (or one bucket)."""
-    out, n = [[]], 0
-    for r in blocks_df.select("bucket", "n").orderBy("bucket").collect():
-        if n + r["n"] > most and out[-1]:
-            out.append([])
-            n = 0
-        out[-1].append(r["bucket"])
-        n += r["n"]
-    return out
-
-
-def collected(rows: DataFrame, value: str, kind, mix: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and values of one shard, on the driver."""
-    parts = [(np.frombuffer(r["keys"], U), np.frombuffer(r[value], kind)) for r in rows.select("keys", value).toLocalIterator()]
-    keys = np.concatenate([np.zeros(0, U), *(k for k, _ in parts)])
-    values = np.concatenate([np.zeros(0, kind), *(v for _, v in parts)])
-    keys = C.mix64(keys) if mix else keys
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
+PART_DDL = "doc_id long, n_bytes long, n_words long, n_found long, base double, score double"
+PART = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
-_TABLES: dict[int, tuple] = {}
 
-
-def tables(shared) -> tuple:
-    """Lookups of a broadcast shard, built once in each worker; only the latest is kept."""
-    key = id(shared.value)
-    if key not in _TABLES:
-        _TABLES.clear()
-        (gk, gv), (wk, known) = shared.value
-        _TABLES[key] = (C.Lookup(gk), gv, C.Lookup(wk), known)
-    return _TABLES[key]
-
-
-PART_DDL = "row long, doc_id long, n_bytes long, n_words long, n_found long, base double, score double"
-PART = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+def lookups(texts: list[bytes], learn: list[bool], answer: list[dict], bits: int) -> dict:
+    """By kind, a lookup of a chunk's mixed keys and the values in its order."""
+    out = {}
+    for kind, (keys, _) in keys_of(texts, learn).items():
+        order, there, _ = in_buckets(kind, keys, bits)
+        parts = {x["bucket"]: x["values"] for x in answer if x["kind"] == kind}
+        values = np.frombuffer(b"".join(parts[k] for k in there.tolist()), np.float32 if kind == GRAM else np.float64)
+        mixed = C.mix64(keys[order])
+        by = np.argsort(mixed)
+        out[kind] = C.Lookup(mixed[by]), values[by]
+    return out
 
 
-def partial(docs: DataFrame, shared) -> DataFrame:
-    """Of each row (row, doc_id, text): sums over what one shard holds."""
+def summed(chunks: DataFrame, answer: DataFrame, bits: int) -> DataFrame:
+    """Sums of the answered values over each text's grams and words."""
+    to = answer.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "values")).alias("answer"))
 
     def run(batches):
-        gram, logs, word, known = tables(shared)
-        for b in C.packed(batches, 2, C.CHUNK // 2):
-            text = C.texts(b.column(2))
-            buf, start, coded = layout(text)
-            k = gram(C.mix64(grams(buf)))
-            val = np.where(k >= 0, logs[np.maximum(k, 0)] if len(logs) else 0.0, 0.0).astype(np.float64)
-            val[~coded[DEPTH:]] = 0
-            score = np.add.reduceat(val, start - DEPTH)
-            h, first = word_hashes(text)
-            k = word(h)
-            found = np.concatenate(([0], np.cumsum(k >= 0)))[first]
-            base = np.concatenate(([0.0], np.cumsum(np.where(k >= 0, known[np.maximum(k, 0)] if len(known) else 0.0, 0.0))))[first]
-            yield C.batch(PART, b.column(0), b.column(1), [len(t) for t in text], np.diff(first), np.diff(found), np.diff(base), score)
-
-    return docs.mapInArrow(run, PART_DDL)
-
-
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, bits: int | None = None) -> DataFrame:
+        for b in batches:
+            for ids, learn, texts, answer in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                tables = lookups(texts, learn, answer, bits)
+                (gram, logs), (word, known) = tables[GRAM], tables[WORD]
+                at, size = 0, np.cumsum([0, *(len(t) + 16 for t in texts)])
+                while at < len(texts):
+                    stop = max(at + 1, int(np.searchsorted(size, size[at] + C.CHUNK // 2, "right")) - 1)
+                    own = texts[at:stop]
+                    buf, start, coded = layout(own)
+                    val = np.where(coded[DEPTH:], logs[gram(C.mix64(grams(buf)))], 0).astype(np.float64)
+                    h, first = word_hashes(own)
+                    found = known[word(C.mix64(h))] if len(h) else np.zeros(0)
+                    base, hits = (np.concatenate(([0], np.cumsum(x)))[first] for x in (found, found > 0))
+                    yield C.batch(PART, ids[at:stop], [len(t) for t in own], np.diff(first), np.diff(hits), np.diff(base), np.add.reduceat(val, start - DEPTH))
+                    at = stop
+
+    return chunks.join(to, "chunk").select("ids", "learn", "texts", "answer").mapInArrow(run, PART_DDL)
+
+
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, chunk: int = PACK) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_tokens (words and
     one end), n_known, train_tokens, base_score (log10 probability by add-one word counts), score
     (log10 probability of the whole text by the weighted context tree) and bits_per_byte.
@@ -368,30 +392,13 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     C.small_batches(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    bits = bits or max(4, min(12, int(given.rdd.getNumPartitions()).bit_length()))
-    every = gather(given, bits)
-    words, contexts = every.where(F.col("kind") == WORD), every.where(F.col("kind") == GRAM)
-    probs = probabilities(contexts)
+    bits = bits or max(4, min(MOST_BITS, int(given.rdd.getNumPartitions()).bit_length()))
+    chunks = pack(given, chunk)
+    tables = gather(chunks, bits)
     n_docs = given.where("learn").count()
-
-    def total(batches):
-        n = sum(int(np.frombuffer(c, np.int64).sum()) for b in batches for c in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    n_train = (words.select("counts").mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0) + n_docs
-    distinct = (words.agg(F.sum("n")).first()[0] or 0) + (n_docs > 0)
-    gram_shards, word_shards = shards(contexts, shard), shards(words, shard)
-    single = max(len(gram_shards), len(word_shards)) == 1
-    rows = given.select(F.lit(0).cast("long").alias("row"), "doc_id", "text") if single else C.materialize(given.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-    out = None
-    for k in range(max(len(gram_shards), len(word_shards))):
-        own = [x[k] if k < len(x) else [] for x in (gram_shards, word_shards)]
-        g = collected(probs.where(F.col("bucket").isin(own[0])), "logs", np.float32, True)
-        w = collected(words.where(F.col("bucket").isin(own[1])), "counts", np.int64, False)
-        part = partial(rows, spark.sparkContext.broadcast((g, (w[0], np.log10(w[1] + 1.0)))))
-        out = part if out is None else out.unionByName(part)
-    if not single:
-        out = out.groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_words")], *[F.sum(c).alias(c) for c in ("n_found", "base", "score")])
+    n_words, distinct = tables.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    n_train, distinct = n_words + n_docs, distinct + (n_docs > 0)
+    out = summed(chunks, answers(tables), bits)
     n_tokens = F.col("n_words") + 1
     log_total = float(np.log10(n_train + distinct + 1.0))
     return out.select(
