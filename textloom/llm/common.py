@@ -47,10 +47,16 @@ def crc_mod(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of Arrow batches, which otherwise hold 10,000 texts of any length."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Arrow batches, which otherwise hold 10,000 texts or 64 MB: rows, and bytes unless set lower.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by rows and bytes, for this session; lower settings stay."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,6 +119,17 @@ def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(docs), np.uint8), off
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array by significance, which compress far better if neighbours are alike."""
+    x = np.ascontiguousarray(x)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -158,12 +158,12 @@ def ask(chunks: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for chunk, learn, texts in zip(*(b.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+            for chunk, learn, texts in (tuple(b.column(k)[row].as_py() for k in (0, 2, 3)) for row in range(b.num_rows)):
                 for kind, (keys, counts) in keys_of(texts, learn).items():
                     order, there, cut = in_buckets(kind, keys, bits)
                     keys, counts = keys[order], counts[order].astype(np.int32)
                     spans = [slice(s, e) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                    yield C.batch(ASKED, np.full(len(there), kind), there, np.full(len(there), chunk), pa.array([keys[x].tobytes() for x in spans], pa.binary()), pa.array([counts[x].tobytes() for x in spans], pa.binary()))
+                    yield C.batch(ASKED, np.full(len(there), kind), there, np.full(len(there), chunk), pa.array([C.planes(keys[x]) for x in spans], pa.binary()), pa.array([C.planes(counts[x]) for x in spans], pa.binary()))
 
     return chunks.mapInArrow(run, ASKED_DDL)
 
@@ -176,14 +176,14 @@ def gather(chunks: DataFrame, bits: int) -> DataFrame:
         at, rows = None, []
 
         def out():
-            keys = [np.frombuffer(k, U) for _, k, _ in rows]
+            keys = [C.unplanes(k, U) for _, k, _ in rows]
             every = np.unique(np.concatenate(keys))
             counts, places = np.zeros(len(every), np.int64), []
             for k, (_, _, c) in zip(keys, rows, strict=True):
                 place = np.searchsorted(every, k)
-                counts[place] += np.frombuffer(c, np.int32)
-                places.append(place.astype(np.int32).tobytes())
-            return C.batch(TABLE, [at[0]], [at[1]], [int(counts.sum())], [int((counts > 0).sum())], pa.array([every.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), [[x for x, _, _ in rows]], pa.array([places], pa.list_(pa.binary())))
+                counts[place] += C.unplanes(c, np.int32)
+                places.append(C.planes(place.astype(np.int32)))
+            return C.batch(TABLE, [at[0]], [at[1]], [int(counts.sum())], [int((counts > 0).sum())], pa.array([C.planes(every)], pa.binary()), pa.array([C.planes(counts)], pa.binary()), [[x for x, _, _ in rows]], pa.array([places], pa.list_(pa.binary())))
 
         for b in batches:
             for kind, bucket, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
@@ -298,7 +298,7 @@ def top_tables(blocks_df: DataFrame) -> dict:
     def run(batches):
         for b in batches:
             for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = Subtrees(np.frombuffer(keys, U), np.frombuffer(counts, np.int64))
+                t = Subtrees(C.unplanes(keys, U), C.unplanes(counts, np.int64))
                 yield C.batch(TOPS, *[pa.array([x.tobytes()], pa.binary()) for x in (*t.sums(), t.rows[1][0].astype(np.int64), t.rows[1][1])])
 
     kids, counts = np.zeros((256, 256)), np.zeros((256, 256))
@@ -328,10 +328,10 @@ def answers(tables: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for kind, bucket, keys, counts, chunks, places in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                counts = np.frombuffer(counts, np.int64)
-                values = Subtrees(np.frombuffer(keys, U), counts).log10(top.value).astype(np.float32) if kind == GRAM else np.log10(counts + 1.0)
+                counts = C.unplanes(counts, np.int64)
+                values = Subtrees(C.unplanes(keys, U), counts).log10(top.value).astype(np.float32) if kind == GRAM else np.log10(counts + 1.0)
                 for k in range(0, len(chunks), 256):
-                    some = [values[np.frombuffer(p, np.int32)].tobytes() for p in places[k : k + 256]]
+                    some = [C.planes(values[C.unplanes(p, np.int32)]) for p in places[k : k + 256]]
                     yield C.batch(ANSWER, np.full(len(some), kind), np.full(len(some), bucket), chunks[k : k + 256], pa.array(some, pa.binary()))
 
     return tables.select("kind", "bucket", "keys", "counts", "chunks", "places").mapInArrow(run, ANSWER_DDL)
@@ -350,7 +350,7 @@ def lookups(texts: list[bytes], learn: list[bool], answer: list[dict], bits: int
     for kind, (keys, _) in keys_of(texts, learn).items():
         order, there, _ = in_buckets(kind, keys, bits)
         parts = {x["bucket"]: x["values"] for x in answer if x["kind"] == kind}
-        values = np.frombuffer(b"".join(parts[k] for k in there.tolist()), np.float32 if kind == GRAM else np.float64)
+        values = np.concatenate([np.zeros(0), *(C.unplanes(parts[k], np.float32 if kind == GRAM else np.float64) for k in there.tolist())])
         mixed = C.mix64(keys[order])
         by = np.argsort(mixed)
         out[kind] = C.Lookup(mixed[by]), values[by]
@@ -363,7 +363,7 @@ def summed(chunks: DataFrame, answer: DataFrame, bits: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for ids, learn, texts, answer in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for ids, learn, texts, answer in (tuple(b.column(k)[row].as_py() for k in range(4)) for row in range(b.num_rows)):
                 tables = lookups(texts, learn, answer, bits)
                 (gram, logs), (word, known) = tables[GRAM], tables[WORD]
                 at, size = 0, np.cumsum([0, *(len(t) + 16 for t in texts)])
