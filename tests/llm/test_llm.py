@@ -122,9 +122,22 @@ def test_secret_candidates_are_whole_runs():
     long = "".join(r.choice("abcXYZ019") for _ in range(5000))
     for key in ("a" * 70 + "7" * 90, long, "ghp_" + "a1B2" * 9, "sk_live_" + "9zY8" * 6):
         assert [m.group() for m in pii._WIDE["secret"].finditer(f"x {key}, y")] == [key]
+    key = "sk-proj-" + "aB3d" * 10
+    assert [m.group() for m in pii._WIDE["secret"].finditer(f"well-known-thing {key}")] == [key]
     assert not pii._WIDE["secret"].search("only_letters_in_here " + "1" * 40 + " __________________ " + "z" * 100_000)
 
 
+def test_overlap_is_exact():
+    r = random.Random(34)
+    for _ in range(300):
+        spans = [("x", s, s + r.choice([1, 3, 40, 200])) for s in (r.randrange(300) for _ in range(r.randrange(20)))]
+        taken = pii.Taken(spans)
+        for _ in range(20):
+            s = r.randrange(320)
+            e = s + r.randrange(1, 9)
+            assert taken.overlaps(s, e) == any(a < e and b > s for _, a, b in spans)
+
+
 def test_personal_data(spark):
     secret = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [(k, f"mail é{k} to a{k}@b.example or +1 (555) 123-45{k:02}") for k in range(20)] + [(50, f'token = "{secret}" here'), (51, "nothing here"), (52, None), (53, "")]

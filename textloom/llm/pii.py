@@ -14,6 +14,8 @@ Spans hold code-point offsets. The texts are read once; spans go through a writt
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 import zlib
@@ -22,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from textloom.llm import common as C
 
@@ -91,7 +94,7 @@ _WIDE = {
     "email": re.compile(r"[A-Za-z0-9_+-]{1,40}(?:\.[A-Za-z0-9_+-]{1,40}){0,4} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,40}(?: ?(?:\[dot\]|\(dot\)| dot ) ?[A-Za-z]{2,12}){1,3}"),
     "phone": re.compile(r"(?<![0-9+.-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,}+"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_])(?:(?:sk|pk|rk|xox[a-z])-(?:[a-z]++-)*+)?(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,}+"),
     "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora|Sra?)\.? [A-Z]\w{1,20}(?: [A-Z]\w{1,20}){0,2}"),
 }
 #: A cheap test that says whether a wide pattern can match at all.
@@ -180,22 +183,24 @@ def span_features(kind: str, s: str, before: str) -> list[int]:
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of the wider patterns that overlap no base span and no candidate of an earlier kind."""
     out: list[tuple[str, int, int]] = []
-    taken = sorted((s, e) for _, s, e in base)
     for kind, wide in _WIDE.items():
-        if not _HINTS[kind].search(text):
-            continue
-        new = [(kind, m.start(), m.end()) for m in wide.finditer(text)]
-        free = [x for x in new if not _overlaps(taken, x[1], x[2])]
-        out += free
-        taken = sorted([*taken, *((s, e) for _, s, e in free)])
+        if _HINTS[kind].search(text):
+            taken = Taken([*base, *out])
+            out += [(kind, m.start(), m.end()) for m in wide.finditer(text) if not taken.overlaps(m.start(), m.end())]
     return out
 
 
-def _overlaps(taken: list[tuple[int, int]], s: int, e: int) -> bool:
-    import bisect
+class Taken:
+    """Spans, for tests of overlap: the furthest end of those that start before a place decides."""
 
-    k = bisect.bisect_left(taken, (e, -1))
-    return any(b > s for _, b in taken[max(0, k - 8) : k])
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        by_start = sorted((s, e) for _, s, e in spans)
+        self.starts = [s for s, _ in by_start]
+        self.ends = list(itertools.accumulate((e for _, e in by_start), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))])
@@ -341,20 +346,27 @@ def masked(text: str, spans) -> str:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs, all columns, with the personal data of each text masked; null texts stay null.
 
-    The models are learned as in personal_data(); the spans of a row are then found anew in the
-    same pass that masks them, so documents are not shuffled.
+    Spans are found once: docs go through the shared folder with them, and documents are not
+    shuffled.
     """
     C.small_batches(docs.sparkSession)
-    shared, at = docs.sparkSession.sparkContext.broadcast(train(C.materialize(find(docs, id_col, text_col)))), docs.columns.index(text_col)
+    at, schema = docs.columns.index(text_col), StructType([*docs.schema.fields, StructField("__spans", StructType.fromDDL(DDL)["spans"].dataType)])
+
+    def mark(batches):
+        for b in C.packed(batches, at):
+            spans = pa.array([_spans(t.decode()) for t in C.texts(b.column(at))], pa.list_(SPAN))
+            yield pa.RecordBatch.from_arrays([*b.columns, spans], names=[*b.schema.names, "__spans"])
+
+    marked = C.materialize(docs.mapInArrow(mark, schema))
+    shared = docs.sparkSession.sparkContext.broadcast(train(marked.select(F.col("__spans").alias("spans"))))
 
-    def clean(t: str | None) -> str | None:
-        if not t:
-            return t
-        spans = decide(_spans(t), shared.value, threshold)
+    def clean(t: str | None, found: list[dict]) -> str | None:
+        spans = decide(found, shared.value, threshold) if t else []
         return masked(t, [x[:3] for x in spans]) if spans else t
 
     def run(batches):
         for b in C.packed(batches, at):
-            yield b.set_column(at, b.schema.field(at), pa.array([clean(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
+            text = [clean(*x) for x in zip(b.column(at).to_pylist(), b.column(len(docs.columns)).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(text, b.schema.field(at).type), *b.columns[at + 1 : -1]], names=b.schema.names[:-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return marked.mapInArrow(run, docs.schema)
