@@ -366,7 +366,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     def run(batches):
         for b in C.packed(batches, at):
-            text = [clean(*x) for x in zip(b.column(at).to_pylist(), b.column(len(docs.columns)).to_pylist(), strict=True)]
+            text = [clean(*x) for x in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(text, b.schema.field(at).type), *b.columns[at + 1 : -1]], names=b.schema.names[:-1])
 
     return marked.mapInArrow(run, docs.schema)
