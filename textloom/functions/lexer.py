@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 SPECIALS = ("<PAD>", "<BOS>", "<EOS>", "<UNK>")
 TAGS = ("<GOAL>", "<CONTEXT>", "<STATE>", "<ERROR>", "<HISTORY>", "<ACTION>", "<GOAL_END>", "<PAD>", "<BOS>", "<EOS>")
 KEYWORDS = (
-    "theorem def inductive structure instance example abbrev axiom by exact intro apply rfl simp constructor cases "
-    "induction assumption refine obtain have let show calc fun forall exists from where with at in do return if then "
-    "else match true false And Or Not Eq Iff"
-).split()
+    "theorem", "def", "inductive", "structure", "instance", "example", "abbrev", "axiom", "by", "exact", "intro", "apply", "rfl", "simp",
+    "constructor", "cases", "induction", "assumption", "refine", "obtain", "have", "let", "show", "calc", "fun", "forall", "exists", "from", "where",
+    "with", "at", "in", "do", "return", "if", "then", "else", "match", "true", "false", "And", "Or", "Not", "Eq", "Iff",
+)
 OPERATORS = (":=", "->", "→", "←", "↔", "∧", "∨", "¬", "∀", "∃", "λ", "×", "<|>", "|>", "<;", ">", "(", ")", "[", "]", "{", "}", ":", ";", ",", ".", "|", "=", "<>", "≠")
 UNKNOWN = 3
 

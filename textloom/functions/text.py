@@ -45,6 +45,18 @@ def strip_code(c: Column) -> Column:
     return F.regexp_replace(c, r'(?s)"(?:[^"\\]|\\.)*"', '""')
 
 
+#: String literals of a Python source, those of three quotes first, and comments.
+PYTHON_NOISE = (
+    r'(?s)"""' + r'.*?(?:"""|\z)' + r"|'{3}.*?(?:'{3}|\z)" + r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"?' + r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'?" + r"|#[^\n]*"
+)
+
+
+def strip_python(c: Column) -> Column:
+    """A Python source with each string literal and each comment turned into a space, in one scan
+    from the left; a literal that is not closed ends with its line (three quotes: with the text)."""
+    return F.regexp_replace(c, PYTHON_NOISE, " ")
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 

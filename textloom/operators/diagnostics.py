@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 
+# Fixed value: a header line is FILE:LINE:COLUMN: SEVERITY: text.
 HEADER = r"^(.+?):(\d+):(\d+): (error|warning|info): ?(.*)$"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -15,20 +16,18 @@ def parse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, number, severity, line, column, message) of each diagnostic: a header line begins one,
     later lines that are not blank continue it, lines before the first header are dropped.
 
-    Islands are runs of lines with the same running count of headers, within one text.
+    A text is cut within its row at its header lines, so nothing is shuffled.
     """
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), LINE_END)).alias("pos", "line"))
-    part = lambda g: F.regexp_extract("line", HEADER, g)
-    marked = lines.withColumn("head", F.col("line").rlike(HEADER)).where(F.col("head") | F.col("line").rlike(rf"(?U){T.NOT_WS}"))
-    island = marked.withColumn("number", F.sum(F.col("head").cast("long")).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("number") > 0)
-    said = F.when(F.col("head"), F.regexp_replace(part(5), rf"(?U)^{T.WS}+|{T.WS}+$", "")).otherwise(F.col("line"))
-    grouped = island.groupBy("id", "number").agg(
-        F.max(F.when(F.col("head"), part(4))).alias("severity"),
-        F.max(F.when(F.col("head"), part(2).cast("int"))).alias("line"),
-        F.max(F.when(F.col("head"), part(3).cast("int"))).alias("column"),
-        F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("rows"),
-    )
-    return grouped.select("id", "number", "severity", "line", "column", F.array_join(F.transform("rows", lambda r: r["said"]), "\n").alias("message"))
+    lines = df.select(F.col(id_col).alias("id"), F.split(F.col(text_col), LINE_END).alias("lines"))
+    places = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADER), i + 1)), lambda i: i.isNotNull())
+    heads = lines.withColumn("heads", places).where(F.size("heads") > 0)
+    begun = heads.select("id", "lines", "heads", F.posexplode("heads").alias("k", "at"))
+    until = F.coalesce(F.try_element_at("heads", F.col("k") + 2), F.size("lines") + 1)
+    own = begun.select("id", (F.col("k") + 1).cast("long").alias("number"), F.element_at("lines", F.col("at")).alias("head"), F.slice("lines", F.col("at") + 1, until - F.col("at") - 1).alias("more"))
+    part = lambda g: F.regexp_extract("head", HEADER, g)
+    said = F.regexp_replace(part(5), rf"(?U)^{T.WS}+|{T.WS}+$", "")
+    message = F.array_join(F.concat(F.array(said), F.filter("more", lambda x: x.rlike(rf"(?U){T.NOT_WS}"))), "\n")
+    return own.select("id", "number", part(4).alias("severity"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), message.alias("message"))
 
 
 def error_messages(diagnostics: DataFrame) -> DataFrame:
@@ -39,12 +38,19 @@ def error_messages(diagnostics: DataFrame) -> DataFrame:
 
 def word_offsets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, word, offset) of each word token: offsets are running sums of the lengths of the pieces
-    (words and single other characters) before it."""
-    pieces = df.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s){T.WORD}|."), F.lit(0))).alias("pos", "word"))
+    (words, and what is between them) before it."""
+    pieces = df.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(rf"{T.WORD}|[^A-Za-z_]+"), F.lit(0))).alias("pos", "word"))
     before = F.coalesce(F.sum(F.length("word")).over(Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return pieces.withColumn("offset", before.cast("long")).where(F.col("word").rlike("^[A-Za-z_]")).select("id", "word", "offset")
 
 
+def first_error(errors: DataFrame) -> DataFrame:
+    """(id, text) of the first error of each id that has one: its message or, if that is empty, its
+    raw message; of (id, number, message, raw_message)."""
+    text = F.coalesce(F.nullif(F.col("message"), F.lit("")), F.nullif(F.col("raw_message"), F.lit("")))
+    return errors.groupBy("id").agg(F.min_by(text, "number").alias("text")).where(F.col("text").isNotNull())
+
+
 def repl_message(c):
     """Of a serialised message: severity, line, column (0 means unknown) and text."""
     m = F.from_json(c, "severity string, line int, column int, message string")

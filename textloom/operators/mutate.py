@@ -5,9 +5,11 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.grammar import rendered
+
 # What may be replaced, in order, and by what.
 REPLACEMENTS = (
     ("MTrue", ("MFalse", "MAnd", "MOr")),
@@ -18,7 +20,6 @@ REPLACEMENTS = (
     ("MOr.inl", ("MOr.inr", "MAnd.intro")),
 )
 LEAF_FLIP, OPERATOR_SWAP, ARGUMENT_SWAP, IDENTIFIER = 0.5, 0.4, 0.5, 0.6
-TYPES = ("identifier_replacement", "argument_replacement", "argument_permutation", "operator_replacement", "tactic_replacement", "tactic_deletion", "binder_modification")
 
 
 def unit(seed: int, *parts: Column) -> Column:
@@ -126,3 +127,25 @@ def tree(key: Column, draw_key: Column, seed: int) -> Column:
         return pd.Series([None if x is None else mutated_tree(x, str(y), seed) for x, y in zip(k, d, strict=True)])
 
     return run(key, draw_key)
+
+
+TEXT_KINDS = ("identifier_replacement", "tactic_replacement", "tactic_deletion")
+
+
+def dispatch(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """df (level, source, prop_structure, proof_structure, ...) with mutant, mutant_structure and
+    mutation_type, for rows to which their edit applies.
+
+    S2 rows with a structure get a tree edit and keep their proof; an edit that changes nothing
+    keeps its label, as only the checker decides. Other rows draw one of TEXT_KINDS.
+    """
+    kind = F.element_at(F.array(*[F.lit(x) for x in TEXT_KINDS]), (F.floor(unit(seed, F.col(key), F.lit("kind")) * len(TEXT_KINDS)) + 1).cast("int"))
+    by_tree = (F.col("level") == "S2") & F.col("prop_structure").isNotNull()
+    text = df.where(~F.coalesce(by_tree, F.lit(False))).withColumn("mutation_type", kind)
+    c = F.col("source")
+    edited = F.when(F.col("mutation_type") == TEXT_KINDS[0], replace_identifier(c, F.col(key), seed)).when(F.col("mutation_type") == TEXT_KINDS[1], replace_tactic(c)).otherwise(delete_tactic(c))
+    text = text.withColumn("mutant", edited).withColumn("mutant_structure", F.col("prop_structure")).where(F.col("mutant").isNotNull() & (F.col("mutant") != c))
+    trees = df.where(by_tree).withColumn("mutant_structure", tree(F.col("prop_structure"), F.col(key), seed)).where(F.col("mutant_structure").isNotNull())
+    shown = F.concat(F.substring_index("source", " : ", 1), F.lit(" : "), rendered(F.col("mutant_structure")), F.lit(" := "), F.element_at(F.split("source", " := ", 2), 2))
+    trees = trees.withColumn("mutation_type", label(F.col("prop_structure"), F.col("mutant_structure"))).withColumn("mutant", shown)
+    return text.unionByName(trees)

@@ -7,30 +7,29 @@ from pyspark.sql import functions as F
 
 from textloom.functions import rules as R
 from textloom.functions import text as T
-from textloom.operators import audit, dedup, grammar, mutate, splits, verify
+from textloom.operators import audit, dedup, grammar, mutate, random_trees, splits, verify
 from textloom.sources import io
 
 VERSION = "1"
 COLUMNS = "sample_id string, level string, source string, prop_structure string, proof_structure string, mutation_type string, parent_id string"
 
 
-def originals(spark: SparkSession, per_level: int, seed: int) -> DataFrame:
+#: Draws for each sample wanted: repeats are rejected, so a level can come out short.
+ATTEMPTS = 20
+
+
+def originals(spark: SparkSession, per_level: int, seed: int, levels: tuple[str, ...] = ("S0", "S1", "S2")) -> DataFrame:
     """At most per_level samples of each level, none twice after normalising."""
-    s0 = grammar.s0(spark).select(F.lit("S0").alias("level"), F.col("prop_lean").alias("p"), F.col("proof_lean").alias("q"), F.lit(None).cast("string").alias("prop_structure"), F.lit(None).cast("string").alias("proof_structure"))
-    q2 = grammar.inhabited(spark, 2, "true").distinct()
-    proofs = q2.select(F.col("proof").alias("proof_structure")).distinct()
-    free = grammar.props(spark, 2).select(F.col("key").alias("prop_structure")).crossJoin(F.broadcast(proofs))
-    typed = lambda df, level: df.select(F.lit(level).alias("level"), grammar.rendered(F.col("prop_structure")).alias("p"), F.regexp_replace("proof_structure", r"^\((.*)\)$", "$1").alias("q"), "prop_structure", "proof_structure")
-    s1 = typed(free, "S1")
-    s2 = typed(grammar.inhabited(spark, 3, "true").distinct().select(F.col("prop").alias("prop_structure"), F.col("proof").alias("proof_structure")), "S2")
-    every = s0.unionByName(s1).unionByName(s2).withColumn("key", F.concat_ws(" := ", "p", "q"))
-    picked = grammar.first_of_each(every, "level", per_level, seed, "key")
-    index = F.pmod(F.xxhash64("level", "key"), F.lit(1 << 40))
-    name = F.concat(F.lower("level"), F.lit("_t"), index.cast("string"))
-    return picked.select(
-        grammar.sample_id(F.col("level"), index, seed).alias("sample_id"),
+    every = None
+    for level in levels:
+        drawn = random_trees.generate(spark, level, per_level * ATTEMPTS, seed)
+        every = drawn if every is None else every.unionByName(drawn)
+    every = every.withColumn("key", T.normalize(F.col("source")))
+    first = dedup.keep_first(every, F.concat_ws("|", "level", "key"), "index")
+    return grammar.first_of_each(first, "level", per_level, seed, "key").select(
+        grammar.sample_id(F.col("level"), F.col("index"), seed).alias("sample_id"),
         "level",
-        F.concat(F.lit("theorem "), name, F.lit(" : "), "p", F.lit(" := "), "q").alias("source"),
+        "source",
         "prop_structure",
         "proof_structure",
         F.lit(None).cast("string").alias("mutation_type"),
@@ -38,17 +37,20 @@ def originals(spark: SparkSession, per_level: int, seed: int) -> DataFrame:
     )
 
 
-def mutants(samples: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n edits of S2 samples: the tree changes, the proof stays."""
-    parents = samples.where("level = 'S2'").withColumn("m", mutate.tree(F.col("prop_structure"), F.col("sample_id"), seed)).where(F.col("m").isNotNull() & (F.col("m") != F.col("prop_structure")))
-    index = F.pmod(F.xxhash64("sample_id", "m"), F.lit(1 << 40))
-    out = parents.select(
+def mutants(samples: DataFrame, n: int, seed: int, level: str = "S2") -> DataFrame:
+    """At most n edits of a level's samples: of S2 the tree changes and the proof stays, of others
+    the text is edited. Edits that change nothing are left out."""
+    parents = samples.where(F.col("level") == level).drop("mutation_type", "parent_id")
+    edited = mutate.dispatch(parents, "sample_id", seed).where(F.col("mutant") != F.col("source"))
+    index = F.pmod(F.xxhash64("sample_id", "mutant"), F.lit(1 << 40))
+    named = F.concat(F.lit(f"theorem {level.lower()}_m"), index.cast("string"), F.lit(" : "), F.element_at(F.split("mutant", " : ", 2), 2))
+    out = edited.select(
         grammar.sample_id(F.col("level"), index, seed, True).alias("sample_id"),
         "level",
-        F.concat(F.lit("theorem s2_m"), index.cast("string"), F.lit(" : "), grammar.rendered(F.col("m")), F.lit(" := "), F.element_at(F.split("source", " := ", 2), 2)).alias("source"),
-        F.col("m").alias("prop_structure"),
+        named.alias("source"),
+        F.col("mutant_structure").alias("prop_structure"),
         "proof_structure",
-        mutate.label(F.col("prop_structure"), F.col("m")).alias("mutation_type"),
+        "mutation_type",
         F.col("sample_id").alias("parent_id"),
     )
     return out.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "sample_id"), 256)).limit(n)
@@ -83,6 +85,7 @@ def summary(samples: DataFrame, seed: int) -> DataFrame:
 
 
 def write(samples: DataFrame, path: str, seed: int) -> str:
-    """JSON lines at path, the summary beside it; returns the summary's text."""
-    io.write_jsonl(samples, path)
+    """Records as JSON lines at path, the summary beside it; returns the summary's text."""
+    environment = io.environment_fingerprint(samples.sparkSession, samples.schema, {"seed": seed, "version": VERSION})
+    io.write_jsonl(io.sample_records(samples, VERSION, seed, environment), path)
     return io.write_summary(summary(samples, seed), f"{path}.summary", stamp=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import lexer as L
 from textloom.functions import rules as R
 from textloom.functions import text as T
-from textloom.operators import audit, bpe, dedup, diagnostics, grammar, mutate, sessions, splits, stats, verify
+from textloom.operators import audit, bpe, dedup, diagnostics, grammar, mutate, random_trees, sessions, splits, stats, verify
 from textloom.registry import ORACLE, QUERIES, query
 from textloom.sources import io
 
@@ -116,18 +117,13 @@ def leakage_summary(spark, d):
     return dedup.leakage(docs, F.col("text"), T.structure_fingerprint(F.col("lang"), F.col("source")), F.col("split"))
 
 
-@query("benchmark_contamination", f"SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON {_NORMAL.format('d.text')} = {_NORMAL.format('b.text')}")
-def benchmark_contamination(spark, d):
-    """J1 between tables: documents that equal a benchmark item after normalising."""
-    docs = table(spark, d, "documents").select("doc_id", T.normalized_fingerprint(F.col("text")).alias("f"))
-    return docs.join(table(spark, d, "benchmark").select("item_id", T.normalized_fingerprint(F.col("text")).alias("f")), "f").select("doc_id", "item_id").distinct()
-
-
-@query("unseen_documents", "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AND doc_id % 2 = 1")
+@query("unseen_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id))")
 def unseen_documents(spark, d):
-    """The later batch without what the earlier batch had."""
-    docs = table(spark, d, "documents").withColumn("f", T.fingerprint(F.col("text")))
-    return dedup.anti(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0"), "f").select("doc_id")
+    """Documents without a label whose text no labelled document has."""
+    docs = table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("f"))
+    labelled = table(spark, d, "labels").select("doc_id")
+    seen = docs.join(labelled, "doc_id", "left_semi")
+    return dedup.anti(docs.join(labelled, "doc_id", "left_anti"), seen, "f").select("doc_id")
 
 
 @query("shared_structures", "SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'de'")
@@ -261,7 +257,8 @@ _SAFETY = ", ".join(
 
 @query("safety_scan", f"WITH {_SOURCES}, c AS (SELECT i, {_STRIP.format('source')} AS c FROM sources) SELECT i, concat_ws('; ', {_SAFETY}) AS violations FROM c")
 def safety_scan(spark, d, rows=sources):
-    return rows(spark, d).select("i", F.array_join(R.safety_violations(F.col("source"), POLICY), "; ").alias("violations"))
+    clean = rows(spark, d).withColumn("clean", T.strip_code(F.col("source")))
+    return clean.select("i", F.array_join(R.safety_violations(F.col("source"), POLICY, F.col("clean")), "; ").alias("violations"))
 
 
 _ALLOWED = "(m = 'Base' OR starts_with(m, 'Base.'))"
@@ -294,7 +291,8 @@ def _audit_sql(rel: str, key: str, text: str) -> str:
 
 @query("text_audit", f"WITH {_SOURCES}, {_audit_sql('sources', 'i', 'source')} SELECT i, array_to_string(v, '; ') AS violations FROM audit")
 def text_audit(spark, d, rows=sources):
-    return rows(spark, d).select("i", F.array_join(R.audit_violations(F.col("source"), POLICY), "; ").alias("violations"))
+    clean = rows(spark, d).withColumn("clean", T.strip_code(F.col("source")))
+    return clean.select("i", F.array_join(R.audit_violations(F.col("source"), POLICY, clean=F.col("clean")), "; ").alias("violations"))
 
 
 @query("audit_rule_counts", f"WITH {_audit_sql('documents', 'doc_id', 'text')} SELECT violation, count(*) AS n FROM (SELECT unnest(v) AS violation FROM audit) GROUP BY 1")
@@ -312,7 +310,7 @@ def audit_summary(spark, d, rows=sources):
     return audit.summary(rows(spark, d), "source", POLICY).withColumn("imports_seen", F.array_join("imports_seen", ",")).withColumn("n_violations", F.col("n_violations").cast("long"))
 
 
-@query("word_offsets", f"WITH {_SOURCES}, p AS (SELECT i, unnest(regexp_extract_all(source, '(?s)[A-Za-z_][A-Za-z0-9_.!]*|.')) AS word, generate_subscripts(regexp_extract_all(source, '(?s)[A-Za-z_][A-Za-z0-9_.!]*|.'), 1) AS k FROM sources) SELECT i AS id, word, \"offset\" FROM (SELECT i, word, coalesce(sum(length(word)) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM p) WHERE regexp_matches(word, '^[A-Za-z_]')")
+@query("word_offsets", f"WITH {_SOURCES}, p AS (SELECT i, unnest(regexp_extract_all(source, '[A-Za-z_][A-Za-z0-9_.!]*|[^A-Za-z_]+')) AS word, generate_subscripts(regexp_extract_all(source, '[A-Za-z_][A-Za-z0-9_.!]*|[^A-Za-z_]+'), 1) AS k FROM sources) SELECT i AS id, word, \"offset\" FROM (SELECT i, word, coalesce(sum(length(word)) OVER (PARTITION BY i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM p) WHERE regexp_matches(word, '^[A-Za-z_]')")
 def word_offsets(spark, d, rows=sources):
     return diagnostics.word_offsets(rows(spark, d), "i", "source")
 
@@ -441,15 +439,26 @@ def failure_classes(spark, d):
 
 
 _TYPE = "CASE " + " ".join(f"WHEN regexp_matches(message, '(?i){p}') THEN '{n}'" for n, p in R.ERROR_TYPES) + " ELSE 'unclassified' END"
-_STRICT = r"(?s)type mismatch\s*\n\s*.+?\s*\nhas type\s*\n\s*(.+?)\s*\nbut is expected to have type\s*\n\s*(.+)"
-_LOOSE = r"(?s)(?:has type|term)\s*\n?\s*(.+?)\s*\n.*?(?:but is expected to have type|but expected to have type)\s*\n?\s*(.+)"
+def _line_with(marks):
+    return "coalesce(list_position(list_transform(l, lambda x: " + " OR ".join(f"contains(x, '{m}')" for m in marks) + "), true), 0)"
+
+
+def _after(x, marks):
+    return "CASE " + " ".join(f"WHEN contains({x}, '{m}') THEN substr({x}, instr({x}, '{m}') + {len(m)})" for m in marks) + " END"
 
 
-def _side(g):
-    return f"nullif(trim(CASE WHEN regexp_matches(message, '{_STRICT}') THEN regexp_extract(message, '{_STRICT}', {g}) ELSE regexp_extract(message, '{_LOOSE}', {g}) END), '')"
+def _bare(x):
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-@query("error_normalize", f"WITH {_PARSED} SELECT id, number, {_TYPE} AS error_type, line, \"column\", {_side(2)} AS expected_type, {_side(1)} AS actual_type, trim(string_split(message, chr(10))[1]) AS message, trim(regexp_extract(message, '(?s)Hint:\\s*(.+)', 1)) AS hint, message AS raw_message FROM parsed")
+_TOLD = f"""lined AS (SELECT *, string_split(message, chr(10)) AS l FROM parsed),
+placed AS (SELECT *, {_line_with(R.EXPECTED)} AS tail, {_line_with(R.NAMED)} AS named, coalesce(list_position(list_transform(l, lambda x: {_bare('x')}), '{R.HAS_TYPE}'), 0) AS alone FROM lined),
+told AS (SELECT *, CASE WHEN tail > 0 THEN {_bare(f"array_to_string(list_concat([{_after('l[tail]', R.EXPECTED)}], l[tail + 1:]), chr(10))")} END AS expected,
+    CASE WHEN contains(message, '{R.MISMATCH}') AND alone > 0 AND alone < tail - 1 THEN {_bare("array_to_string(l[alone + 1:tail - 1], chr(10))")}
+    WHEN named > 0 AND named < tail THEN CASE WHEN {_bare(_after('l[named]', R.NAMED))} <> '' THEN {_bare(_after('l[named]', R.NAMED))} WHEN named + 1 < tail THEN {_bare('l[named + 1]')} END END AS actual FROM placed)"""
+
+
+@query("error_normalize", f"WITH {_PARSED}, {_TOLD} SELECT id, number, {_TYPE} AS error_type, line, \"column\", CASE WHEN actual <> '' AND expected <> '' THEN expected END AS expected_type, CASE WHEN expected <> '' AND actual <> '' THEN actual END AS actual_type, trim(l[1]) AS message, CASE WHEN contains(message, 'Hint:') THEN {_bare("substr(message, instr(message, 'Hint:') + 5)")} ELSE '' END AS hint, message AS raw_message FROM told")
 def error_normalize(spark, d):
     return parsed(spark, d).select("id", "number", R.normalize_error(F.col("message"), F.col("line"), F.col("column")).alias("e")).select("id", "number", "e.*")
 
@@ -459,20 +468,22 @@ def error_type_counts(spark, d):
     return parsed(spark, d).where("severity = 'error'").groupBy(R.error_type(F.col("message")).alias("error_type")).agg(F.count("*").alias("n"))
 
 
-@query("first_error", f"WITH {_PARSED} SELECT id, arg_min(message, number) AS message FROM parsed WHERE severity = 'error' AND message <> '' GROUP BY id")
+@query("first_error", f"WITH {_PARSED} SELECT id, arg_min(coalesce(nullif(trim(string_split(message, chr(10))[1]), ''), nullif(message, '')), number) AS text FROM parsed WHERE severity = 'error' GROUP BY id")
 def first_error(spark, d):
-    """K8: the first error's text of each sample."""
-    return parsed(spark, d).where("severity = 'error' AND message <> ''").groupBy("id").agg(F.min_by("message", "number").alias("message"))
+    """K8: the first error's text of each sample: its first line, or all of it."""
+    errors = parsed(spark, d).where("severity = 'error'").select("id", "number", R.normalize_error(F.col("message"), F.col("line"), F.col("column")).alias("e"))
+    return diagnostics.first_error(errors.select("id", "number", "e.message", "e.raw_message"))
 
 
 _AXIOMS = "CASE event_id % 4 WHEN 0 THEN '''t' || CAST(event_id AS STRING) || ''' depends on axioms: [propext, Classical.choice]' WHEN 1 THEN '''t'' depends on axioms: [sorryAx,' || chr(10) || ' Quot.sound]' || chr(10) || '''u'' depends on axioms: [my.ax''1, propext]' WHEN 2 THEN '''t'' does not depend on any axioms' ELSE '''t'' depends on axioms: []' END"
-_DEPENDS = r"''([^'']+)'' depends on axioms:\s*\[([^\]]*)\]"
+_LISTS = f"""cut AS (SELECT event_id, string_split(o, ''' {R.DEPENDS}') AS p FROM o),
+    told AS (SELECT event_id, k, string_split(p[k], '''')[-1] AS decl, ltrim(p[k + 1]) AS body FROM (SELECT event_id, p, unnest(range(1, len(p))) AS k FROM cut)),
+    a AS (SELECT event_id, decl, k, unnest(x) AS ax, generate_subscripts(x, 1) AS j FROM (SELECT *, regexp_extract_all(string_split(body, ']')[1], '[A-Za-z_][A-Za-z0-9_.'']*') AS x FROM told WHERE starts_with(body, '[') AND contains(body, ']')))"""
 
 
 @query(
     "axiom_inspect",
-    rf"""WITH o AS (SELECT event_id, {_AXIOMS} AS o FROM events), p AS (SELECT event_id, unnest(regexp_extract_all(o, '{_DEPENDS}', 1)) AS decl, unnest(regexp_extract_all(o, '{_DEPENDS}', 2)) AS body, generate_subscripts(regexp_extract_all(o, '{_DEPENDS}', 1), 1) AS k FROM o),
-    a AS (SELECT event_id, decl, k, unnest(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_.'']*')) AS ax, generate_subscripts(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_.'']*'), 1) AS j FROM p)
+    rf"""WITH o AS (SELECT event_id, {_AXIOMS} AS o FROM events), {_LISTS}
     SELECT o.event_id, coalesce(string_agg(DISTINCT ax, ',' ORDER BY ax) FILTER (WHERE ax IN ('Classical.choice', 'propext', 'Quot.sound')), '') AS trusted,
     coalesce(string_agg('''' || decl || ''' depends on non-trusted axiom ''' || ax || '''', '; ' ORDER BY k, j) FILTER (WHERE ax NOT IN ('Classical.choice', 'propext', 'Quot.sound')), '') AS violations,
     coalesce(string_agg(DISTINCT ax, ',' ORDER BY ax), '') AS axioms FROM o LEFT JOIN a USING (event_id) GROUP BY o.event_id""",
@@ -629,11 +640,13 @@ def mutate_tree(spark, d):
     return p.select("key", "mutant", mutate.label(F.col("key"), F.col("mutant")).alias("label"), mutate.exact_label(F.col("key"), F.col("mutant")).alias("exact_label"))
 
 
-@query("mutant_parent_join", "SELECT m.doc_id AS sample_id, p.doc_id AS parent_id, p.lang AS parent_lang FROM documents m JOIN documents p ON m.doc_id // 10 * 10 = p.doc_id WHERE m.doc_id % 10 <> 0")
+@query("mutant_parent_join", f"SELECT m.doc_id AS sample_id, p.doc_id AS parent_id, p.lang AS parent_lang FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {_NORMAL.format('text')}) AS parent_id FROM documents) m JOIN documents p ON m.parent_id = p.doc_id WHERE m.doc_id > m.parent_id")
 def mutant_parent_join(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "lang")
-    mutants = docs.where("sample_id % 10 <> 0").select("sample_id", (F.floor(F.col("sample_id") / 10) * 10).cast("long").alias("parent_id"))
-    return dedup.parent_join(mutants, docs.where("sample_id % 10 = 0")).select("sample_id", "parent_id", "parent_lang")
+    """Documents that repeat an earlier one, with that one's row."""
+    docs = table(spark, d, "documents")
+    repeats = dedup.duplicate_details(docs, T.normalized_fingerprint(F.col("text")), "doc_id", "normalized")
+    mutants = repeats.select(F.col("dup_id").alias("sample_id"), F.col("first_id").alias("parent_id"))
+    return dedup.parent_join(mutants, docs.select(F.col("doc_id").alias("sample_id"), "lang")).select("sample_id", "parent_id", "parent_lang")
 
 
 @query("mutant_verification", f"WITH {_props_sql(2, 'both')}, {_inhabited_sql(2)}, o AS (SELECT DISTINCT prop, proof FROM q2), m AS (SELECT '(' || op || ' ' || r || ' ' || l || ')' AS prop_structure, o.proof AS proof_structure FROM o JOIN p2 ON o.prop = p2.key WHERE l IS NOT NULL) SELECT CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.prop = prop_structure AND o.proof = proof_structure) THEN 'SUCCESS' ELSE 'FAIL_TYPECHECK' END AS status, count(*) AS n FROM m GROUP BY 1")
@@ -645,6 +658,152 @@ def mutant_verification(spark, d):
     return grammar.check(m, q).groupBy("status").agg(F.count("*").alias("n"))
 
 
+# --- random trees, records, stages ------------------------------------------------------------
+
+
+def _tree_sql(level: str, n: int) -> str:
+    a, b = random_trees.structures(level, lambda path: random_trees.draw(SEED, path, sha="sha256({})", number="('0x' || {})::BIGINT::DOUBLE").replace("4294967296.0", "4294967296.0::DOUBLE"))
+    return f"SELECT i, {a} AS prop_structure, {b} AS proof_structure FROM range({n}) t(i)"
+
+
+N_TREES = 20_000
+
+
+@query("random_s1", _tree_sql("S1", N_TREES))
+def random_s1(spark, d):
+    """Proposition and proof drawn alone."""
+    return random_trees.generate(spark, "S1", N_TREES, SEED).select(F.col("index").alias("i"), "prop_structure", "proof_structure")
+
+
+@query("random_s2", _tree_sql("S2", N_TREES))
+def random_s2(spark, d):
+    """A proposition with a proof of it."""
+    return random_trees.generate(spark, "S2", N_TREES, SEED).select(F.col("index").alias("i"), "prop_structure", "proof_structure")
+
+
+_S0_DRAWN = f"SELECT i AS \"index\", 'theorem s0_t' || i || ' : ' || {list(grammar.S0_PROPS)}[floor({{p}} * 8)::INT + 1] || ' := ' || {list(grammar.S0_PROOFS)}[floor({{q}} * 7)::INT + 1] AS source FROM range({N_TREES}) t(i)"
+
+
+@query("random_s0", _S0_DRAWN.replace("{p}", "(('0x' || substr(sha256('42:' || i || ':p'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)").replace("{q}", "(('0x' || substr(sha256('42:' || i || ':q'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"))
+def random_s0(spark, d):
+    return random_trees.generate(spark, "S0", N_TREES, SEED).select("index", "source")
+
+
+@query("random_s2_verified", f"SELECT 'SUCCESS' AS status, {N_TREES}::BIGINT AS n")
+def random_s2_verified(spark, d):
+    """Every drawn S2 sample is right, by the relation of all right pairs."""
+    samples = random_trees.generate(spark, "S2", N_TREES, SEED)
+    return grammar.check(samples, grammar.inhabited(spark, 3, "true")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+_KIND = f"['identifier_replacement', 'tactic_replacement', 'tactic_deletion'][floor({_draw_sql('kind')} * 3)::INT + 1]"
+
+
+@query(
+    "mutate_dispatch",
+    f"""SELECT i, mutation_type, mutant FROM (SELECT i, s, {_KIND} AS mutation_type, CASE {_KIND} WHEN 'identifier_replacement' THEN (CASE {_PICKS} END)
+    WHEN 'tactic_replacement' THEN CASE WHEN contains(s, 'by exact') THEN s[:instr(s, 'by exact') - 1] || 'by apply' || s[instr(s, 'by exact') + 8:] END
+    ELSE CASE WHEN contains(s, 'by exact ') THEN s[:instr(s, 'by exact ') - 1] || 'by ' || s[instr(s, 'by exact ') + 9:] END END AS mutant FROM (SELECT i, {_THEOREM} AS s FROM range(20000) t(i))) WHERE mutant IS NOT NULL AND mutant <> s""",
+)
+def mutate_dispatch(spark, d):
+    """M1: an edit drawn for each statement, where it applies."""
+    s = spark.range(20000).select(F.col("id").alias("i"), F.lit("S0").alias("level"), grammar.bench_theorem(F.col("id")).alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("prop_structure", "proof_structure")])
+    return mutate.dispatch(s, "i", SEED).select("i", "mutation_type", "mutant")
+
+
+def _python_sql() -> str:
+    """A few lines of Python by document, then its text."""
+    quote = "chr(39)"
+    parts = {0: f"'    ' || {quote} || {quote} || {quote} || 'admit' || chr(10) || 'it' || {quote} || {quote} || {quote}", 1: "'    unsafe = 1'", 2: f"'    y = ' || {quote} || 'native_decide'", 3: f"'    elab(' || {quote} || 'a' || chr(92) || {quote} || 'sorry' || {quote} || ')'"}
+    return "'x = \"axiom # no\" # sorry' || chr(10) || CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN {v}" for k, v in parts.items()) + " END || chr(10) || coalesce(text, '')"
+
+
+@query("strip_python", f"SELECT doc_id, regexp_replace({_python_sql()}, '{_q(T.PYTHON_NOISE)}', ' ', 'g') AS clean FROM documents")
+def strip_python(spark, d):
+    """S12 over whole documents, each after some lines of Python."""
+    return table(spark, d, "documents").select("doc_id", T.strip_python(F.expr(_python_sql())).alias("clean"))
+
+
+_REPORT = f"{_audit_sql('documents', 'doc_id', 'text')}, lines AS (SELECT doc_id AS id, k - 1 AS position, doc_id || ': ' || v[k] AS line FROM (SELECT doc_id, v, unnest(range(1, len(v) + 1)) AS k FROM audit))"
+
+
+@query("audit_report", f"WITH {_REPORT} SELECT id, position::INT AS position, line FROM lines")
+def audit_report(spark, d):
+    """A4: the violations of all documents as lines."""
+    return audit.report_lines(table(spark, d, "documents"), "doc_id", "text", POLICY)
+
+
+@query("audit_report_fingerprint", f"WITH {_REPORT}, s AS (SELECT count(*) AS n_violations, coalesce(sum(('0x' || substr(sha256(position || '|' || line), 1, 12))::BIGINT::HUGEINT), 0) AS digest FROM lines) SELECT n AS n_samples, n_violations, sha256(n || '|' || n_violations || '|' || digest) AS fingerprint FROM s, (SELECT count(*) AS n FROM documents)")
+def audit_report_fingerprint(spark, d):
+    """S8."""
+    return audit.report_fingerprint(table(spark, d, "documents"), "doc_id", "text", POLICY)
+
+
+@query("trusted_base", f"SELECT event_id, CASE WHEN event_id % 4 = 1 THEN 'FAIL_SAFETY' ELSE 'SUCCESS' END AS status, CASE WHEN event_id % 4 = 1 THEN 'INVALID_ACTION' END AS failure_class, CASE event_id % 4 WHEN 1 THEN '''t'' depends on non-trusted axiom ''sorryAx''; ''u'' depends on non-trusted axiom ''my.ax''1''' ELSE '' END AS messages, CASE event_id % 4 WHEN 0 THEN 'Classical.choice,propext' WHEN 1 THEN 'Quot.sound,my.ax''1,propext,sorryAx' ELSE '' END AS kernel_axioms FROM events")
+def trusted_base(spark, d):
+    """V2: what the checker says the proofs rest on decides."""
+    e = table(spark, d, "events").select("event_id", F.lit("theorem t : MTrue := MTrue.intro").alias("source"))
+    checker = lambda df: df.select("*", F.lit("SUCCESS").alias("status"), F.array().cast("array<string>").alias("messages"), F.expr(_AXIOMS).alias("axioms_output"))
+    out = verify.staged(e, "source", checker, POLICY)
+    return out.select("event_id", "status", "failure_class", F.array_join("messages", "; ").alias("messages"), F.array_join("kernel_axioms", ",").alias("kernel_axioms"))
+
+
+@query("two_tier_verdicts", f"WITH {_SPLIT} SELECT doc_id, split, CASE WHEN split = 'TEST' THEN 'batch' ELSE 'interactive' END AS mode, CASE WHEN length(text) % 2 = 0 OR split = 'TEST' THEN 'verified' ELSE 'rejected' END AS verdict FROM split")
+def two_tier_verdicts(spark, d):
+    """V9: a warm checker for all rows but those of TEST, which a fresh one decides."""
+    docs = splits.split(table(spark, d, "documents"), "doc_id", SEED)
+    warm = lambda df: df.withColumn("status", F.when(F.length("text") % 2 == 0, "SUCCESS").otherwise("FAIL_TYPECHECK"))
+    fresh = lambda df: df.withColumn("status", F.lit("SUCCESS"))
+    out = verify.two_tier(docs, warm, fresh)
+    return out.select("doc_id", "split", "mode", verify.verdict(F.col("status"), "any")["verdict"].alias("verdict"))
+
+
+@query("split_by_lang", f"WITH {_SPLIT} SELECT lang, split, count(*) AS n, sum(length(text))::BIGINT AS chars FROM split GROUP BY 1, 2")
+def split_by_lang(spark, d):
+    """W2 with the whole rows carried along."""
+    return splits.split(table(spark, d, "documents"), "doc_id", SEED).groupBy("lang", "split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("sample_records", "SELECT CAST(doc_id AS VARCHAR) AS sample_id, CASE WHEN doc_id > parent THEN 'synthetic_mutation' ELSE 'synthetic' END AS origin, 42::BIGINT AS seed, lang AS level, CASE quality WHEN 1 THEN 'verified' WHEN 0 THEN 'rejected' END AS verdict, CASE WHEN quality IS NOT NULL THEN sha256(text) END AS source_hash, CASE WHEN quality = 0 THEN 'low' END AS first_error FROM (SELECT *, min(doc_id) OVER (PARTITION BY text) AS parent FROM documents) LEFT JOIN labels USING (doc_id)")
+def sample_records(spark, d):
+    """The stored form of samples, with where they come from and how they were checked."""
+    docs = table(spark, d, "documents")
+    first = docs.groupBy("text").agg(F.min("doc_id").alias("parent"))
+    rows = docs.join(first, "text").join(table(spark, d, "labels"), "doc_id", "left")
+    null = F.lit(None).cast("string")
+    rows = rows.select(
+        F.col("doc_id").cast("string").alias("sample_id"),
+        F.col("lang").alias("level"),
+        F.col("text").alias("source"),
+        *[null.alias(c) for c in ("prop_structure", "proof_structure", "mutation_type", "split", "mode")],
+        F.when(F.col("doc_id") > F.col("parent"), F.col("parent").cast("string")).alias("parent_id"),
+        F.when(F.col("quality") == 1, "SUCCESS").when(F.col("quality") == 0, "FAIL_TYPECHECK").alias("status"),
+        F.when(F.col("quality") == 0, F.array(F.lit("low"))).alias("messages"),
+        F.array().cast("array<string>").alias("kernel_axioms"),
+    )
+    r = io.sample_records(rows, "1", SEED, "env")
+    v = F.col("validation_provenance")
+    return r.select("sample_id", "generator_provenance.origin", "generator_provenance.seed", "level", v["verdict"].alias("verdict"), v["source_hash"].alias("source_hash"), F.try_element_at(v["errors"], F.lit(1))["message"].alias("first_error"))
+
+
+@query("jsonl_round_trip", "SELECT doc_id, text, lang, source FROM documents")
+def jsonl_round_trip(spark, d):
+    """IO1, IO2, IO3: whole documents written as JSON lines and read again."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    path = f"{io.shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
+    io.write_jsonl(docs, path)
+    return io.read_jsonl(spark, path, docs.schema).select("doc_id", "text", "lang", "source")
+
+
+@query("tokenizer_report")
+def tokenizer_report(spark, d):
+    """K7, K9: byte pairs learned from the turns against the rule lexer, on turns, proofs and errors."""
+    from textloom.plans import reports
+
+    turns = table(spark, d, "conversations").select("text", F.when(F.col("role") == "assistant", F.col("text")).alias("error"))
+    return reports.tokenizer_report(spark, turns, "text", "error", 1200)
+
+
 # --- sessions, configuration ------------------------------------------------------------------
 
 
@@ -670,17 +829,12 @@ def session_declarations(spark, d):
 @query("session_stream")
 def session_stream(spark, d):
     """V10 as a stream: the events' users are sessions; available input is read to its end."""
-    import tempfile
-
     from textloom.streaming import sessions as S
 
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not _is_folder(spark, f"{d}/events.parquet") else spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
     requests = stream.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "error", "crash").otherwise("submit").alias("op"), grammar.action(F.col("event_id")).alias("source"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-")
-    import uuid
-
-    where = f"{base}/textloom/{uuid.uuid4().hex}"
+    where = f"{io.shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
     q = S.replies(requests).writeStream.format("parquet").outputMode("append").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").trigger(once=True).start()  # with timeouts on, availableNow would never end
     q.awaitTermination()
     return spark.read.schema(S.REPLY).parquet(f"{where}/out")

@@ -25,12 +25,23 @@ def sample_schema() -> T.StructType:
     return T.StructType.fromDDL(SAMPLE)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir says. Where none is set, a local
+    one, made once, if the master is local; on a cluster executors could not read each other's."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="textloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder (spark.checkpoint.dir; a local one only where none is
-    set) and reads it back, so that what follows does not compute it again."""
+    """Writes a table into the shared folder and reads it back, so that what follows does not
+    compute it again and does not depend on the order in which rows come."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="textloom-")
-    path = f"{base}/textloom/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,6 +65,37 @@ def sorted_struct(df: DataFrame):
     return F.struct(*[shape(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
 
 
+def sample_records(df: DataFrame, version: str, seed: int, environment: str) -> DataFrame:
+    """Samples (sample_id, level, source, structures, split, status, messages, kernel_axioms, mode,
+    parent_id, mutation_type) in the stored form, with where each comes from and how it was
+    checked; rows without a status have no validation_provenance."""
+    null = lambda t: F.lit(None).cast(t)
+    body = F.element_at(F.split("source", " : ", 2), 2)
+    made = F.struct(
+        F.create_map().cast("map<string,string>").alias("extra"),
+        F.lit(version).alias("generator_version"),
+        "level",
+        "mutation_type",
+        F.when(F.col("parent_id").isNull(), "synthetic").otherwise("synthetic_mutation").alias("origin"),
+        "parent_id",
+        F.lit(seed).cast("long").alias("seed"),
+    )
+    errors = F.transform(F.coalesce("messages", F.array().cast("array<string>")), lambda m: F.struct(null("int").alias("column"), null("int").alias("line"), m.alias("message"), F.lit("error").alias("severity")))
+    checked = F.struct(
+        F.lit(environment).alias("environment_hash"),
+        errors.alias("errors"),
+        "kernel_axioms",
+        null("string").alias("lean_version"),
+        "mode",
+        F.sha2("source", 256).alias("source_hash"),
+        "status",
+        F.when(F.col("status") == "SUCCESS", "verified").otherwise("rejected").alias("verdict"),
+    )
+    out = df.withColumn("generator_provenance", made).withColumn("validation_provenance", F.when(F.col("status").isNotNull(), checked))
+    out = out.withColumn("prop_lean", F.substring_index(body, " := ", 1)).withColumn("proof_lean", F.element_at(F.split(body, " := ", 2), 2))
+    return out.select(*[F.col(f.name).cast(f.dataType) for f in sample_schema()])
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines with sorted keys, nulls kept and text unescaped, one part for each partition."""
     df.select(F.to_json(sorted_struct(df), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
