@@ -183,6 +183,26 @@ def test_quality_gradient_is_right():
         assert g[key][at] == pytest.approx((up - down) / 2 / e, rel=0.05, abs=2e-4), key
 
 
+def test_quality_forward_pass_is_the_definition():
+    r = np.random.default_rng(2)
+    docs = [bytes(r.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 120, 128, 129, 255, 256, 700, 2000)]
+    net = quality_classifier.Network(seed=4)
+    p, Q = net.p, quality_classifier
+    for d, got in zip(docs, net.score(docs), strict=True):
+        n = max(2, -(-(len(d) + Q.WIDTH) // Q.HALF))
+        bits = lambda byte: np.zeros(8) if byte == 0 else np.array([1.0 if byte >> k & 1 else -1.0 for k in range(8)])
+        padded = [bits(x) for x in d + bytes(n * Q.HALF - len(d))]
+        respond = lambda at: np.concatenate(padded[at : at + Q.WIDTH]) @ p["filters"]
+        features = []
+        for chunk in range(n - 1):
+            places = [at for at in range(chunk * Q.HALF, chunk * Q.HALF + Q.CHUNK, Q.STRIDE) if at + Q.WIDTH <= len(padded)]
+            pool = np.max([respond(at) for at in places], axis=0) + p["bias"]
+            seen = np.append(np.tanh(pool / 4), min(1, len(d) / Q.CHUNK))
+            features.append(np.maximum(0, seen @ p["hidden"] + p["hidden_bias"]))
+        both = np.concatenate([np.mean(features, axis=0), np.max(features, axis=0)])
+        assert got == pytest.approx(1 / (1 + math.exp(-float(both @ p["out"] + p["out_bias"][0]))), abs=1e-5), len(d)
+
+
 def test_quality_learns_from_whole_texts(spark):
     r = random.Random(1)
     good = lambda: " ".join(r.choice(["the", "river", "and", "stone", "lamp", "went", "over"]) for _ in range(r.randrange(5, 120)))
@@ -211,6 +231,39 @@ def test_language_families_then_pairs(spark):
     assert {x.lang_pred for x in language_id.identify(df, None).collect()} == {"und"}
 
 
+def test_language_votes_are_the_definition(spark):
+    r = random.Random(31)
+    vocab = {"en": "abcde", "de": "cdefg", "nl": "bcdfg", "fr": "xyzab", "es": "wxyza"}
+    rows = [(k, " ".join("".join(r.choice(vocab[lang]) for _ in range(4)) for _ in range(12)), lang) for k in range(100) for lang in [list(vocab)[k % 5]]]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = [t.encode() for _, t, _ in rows[:20]] + [b"a", b"ab 12"]
+    langs, score, family = model.predict(docs)
+    where = {k: i for i, k in enumerate(model.machines)}
+    shift = 32 - int(language_id.FEATURES).bit_length() + 1
+    for d, lang, s, f in zip(docs, langs, score, family, strict=True):
+        x = [10, 10, *(0x30 if 48 <= c <= 57 else c for c in d.lower()), 10]
+        margin = np.array(model.bias, float)
+        for k in range(2, len(x)):
+            two = (x[k] + x[k - 1] * 256) * 2654435761 % 2**32 >> shift
+            three = ((x[k] + x[k - 1] * 256 + x[k - 2] * 65536) * 2246822519 % 2**32 >> shift) + language_id.FEATURES
+            margin += (model.weights[two].astype(float) + model.weights[three]) / (len(d) + 1)
+        sides = {n: margin[where["family", n]] for n in model.families}
+        best = max(sides, key=sides.get)
+        assert f == best
+        order = sorted(sides.values())
+        sure = 1 / (1 + math.exp(-2 * (order[-1] - order[-2])))
+        own = model.families[best]
+        votes, total = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                m = margin[where[best, a, b]]
+                votes[a if m >= 0 else b] += 1
+                total[a] += m
+                total[b] -= m
+        first = max(own, key=lambda a: votes[a] + 1e-3 * math.tanh(total[a]))
+        assert lang == first and s == pytest.approx(sure * (1 / (1 + math.exp(-2 * abs(total[first]))) if len(own) > 1 else 1), rel=1e-3)
+
+
 # --- operator 5 -------------------------------------------------------------------------------
 
 
@@ -371,6 +424,48 @@ def test_shared_draws_equal_those_of_each_unit_alone(model, monkeypatch):
 # --- operator 10 ------------------------------------------------------------------------------
 
 
+def test_fields_share_the_tokens_of_the_whole(spark):
+    rows = [(1, "a title", "the body\n\nof it", None), (2, None, "", ""), (3, "", "é漢 x", "end")]
+    df = spark.createDataFrame(rows, "doc_id long, title string, text string, note string")
+    encode, length = token_counts.encoder(token_counts.VOCABULARY)
+    for rule in token_counts.RULES:
+        for x in token_counts.field_counts(df, ["title", "text", "note"], rule=rule).collect():
+            parts = [(p or "").encode() for p in rows[x.doc_id - 1][1:]]
+            whole = b"\n\n".join(parts)
+            ids = encode.encode_ordinary(whole.decode())
+            expect, at = [0, 0, 0], 0
+            bounds = [0, len(parts[0]) + 2, len(parts[0]) + len(parts[1]) + 4, len(whole)]
+            for i in ids:
+                span = range(at, at + int(length[i]))
+                at = span.stop
+                share = [sum(bounds[k] <= b < bounds[k + 1] for b in span) for k in range(3)]
+                place = {"start": lambda: next(k for k in range(3) if bounds[k] <= span[0] < bounds[k + 1]), "end": lambda: next(k for k in range(3) if bounds[k] <= span[-1] < bounds[k + 1]), "majority": lambda: share.index(max(share))}[rule]()
+                expect[place] += 1
+            assert (x.n_tokens, x.field_tokens) == (len(ids), expect), (rule, x)
+    with pytest.raises(ValueError):
+        token_counts.field_counts(df, [])
+
+
+def test_section_counts_match_brute_force(spark):
+    r = random.Random(41)
+    rows = [(k, "".join(r.choice(["word ", "é漢", "\n", "\n\n", "  ", "x1", "!"]) for _ in range(r.randrange(60)))) for k in range(40)]
+    encode, length = token_counts.encoder(token_counts.VOCABULARY)
+    out = {x.doc_id: x for x in token_counts.token_counts(frame(spark, rows)).collect()}
+    for i, t in rows:
+        b = t.encode()
+        owner, section = [], 0
+        for k, c in enumerate(b):
+            owner.append(section)
+            section += c == 10 and k + 1 < len(b) and b[k + 1] != 10
+        expect, at, crossing = [0] * (max(owner) + 1 if owner else 0), 0, 0
+        for token in encode.encode_ordinary(t):
+            own = owner[at : at + int(length[token])]
+            at += int(length[token])
+            crossing += own[0] != own[-1]
+            expect[max(sorted(set(own)), key=own.count)] += 1
+        assert [s.n_tokens for s in out[i].sections] == expect and out[i].n_crossing == crossing, t
+
+
 def test_tokens_are_attributed_by_rule(spark):
     ends, stops = np.array([2, 5, 9]), np.array([3, 4, 9])
     assert [token_counts.allocate(ends, stops, r)[0].tolist() for r in ("start", "end", "majority")] == [[0, 0, 2], [0, 2, 2], [0, 0, 2]]
@@ -425,6 +520,56 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+def test_rows_of_null_ids_ties_and_repeats_are_the_same_as_alone(spark):
+    """Whatever stands beside it, a row gets the result of its text; rows that come again as well."""
+    r = random.Random(51)
+    long = " ".join(r.choice(["river", "stone", "lamp", "q@b.example", "1234"]) for _ in range(60_000))
+    rows = [(None, "mail a@b.example now"), (None, None), (5, "mail a@b.example now"), (5, "mail a@b.example now"), (6, ""), (7, long)]
+    df = frame(spark, rows)
+    items = spark.createDataFrame([(1, "mail a b example now"), (None, "river stone")], "item_id long, text string")
+    labels = spark.createDataFrame([(5, 1), (6, 0), (6, 0), (None, 1)], "doc_id long, quality int")
+    model = quality_classifier.train(df, labels)
+    for run, key in (
+        (lambda x: decontaminate.matches(x, items), lambda y: (y.n_words, tuple(y.first_words), tuple(y.end_words), tuple(y["items"]))),
+        (lambda x: decontaminate.matches(x, items, block_words=3), lambda y: (y.n_words, tuple(y.first_words), tuple(y.end_words), tuple(y["items"]))),
+        (lambda x: quality_classifier.classify(x, model), lambda y: round(y.score, 5)),
+        (lambda x: quality_rules.apply_rules(x), lambda y: (y.n_words, y.n_repeat_words, y.kept)),
+        (lambda x: token_counts.token_counts(x), lambda y: (y.n_tokens, y.n_sections)),
+        (lambda x: pieces.encode(x, dropout=0.0), lambda y: bytes(y.ids)),
+    ):
+        out = run(df).collect()
+        assert len(out) == len(rows)
+        by_id = {}
+        for y in out:
+            by_id.setdefault(y.doc_id, []).append(key(y))
+        assert by_id[5][0] == by_id[5][1] and by_id[5][0] in by_id[None] and by_id[6][0] in by_id[None]
+    n = decontaminate.matches(df, items).where("doc_id = 7").first()
+    assert n.n_words == len(brute.ALNUM.findall(long))
+    kept = decontaminate.decontaminate(df, items).collect()
+    assert sorted(repr(x.doc_id) for x in kept) == ["6", "7", "None"]
+
+
+def test_empty_tables_of_all_operators(spark):
+    df = spark.createDataFrame([], CLASHING)
+    items = spark.createDataFrame([], "item_id long, text string")
+    for out in (
+        quality_classifier.classify(df, None),
+        quality_classifier.keep(df, None),
+        language_id.identify(df, None),
+        pii.redact(df),
+        jaccard_join.one_of_each(df),
+        decontaminate.decontaminate(df, items),
+        decontaminate.decontaminate(df, items, "cut", block_words=1),
+        pieces.decode(pieces.encode(df, keep_text=True)),
+        token_counts.field_counts(df, ["text", "kept"]),
+        context_tree.score(df, F.lit(True)),
+    ):
+        assert out.count() == 0
+    rows = frame(spark, [(1, "a b"), (None, None)])
+    for block in (1, 10**6):
+        assert decontaminate.matches(rows, items, block_words=block).count() == decontaminate.decontaminate(rows, items, block_words=block).count() == 2
+
+
 def test_lookup():
     keys = np.unique(C.mix64(np.arange(1000, dtype=np.uint64)))
     found = C.Lookup(keys)

@@ -8,8 +8,11 @@ each word the automaton gives the longest suffix that occurs in some item. A suf
 Words that no item has, and pairs of neighbours that no item has, reset the match, so only runs
 of known pairs that are long enough to hold a hit are streamed; the result is the same.
 
-The items are taken in blocks of at most ``block_words`` words, one automaton each, so that what
-is broadcast is bounded; with several blocks the spans of each are united per document.
+Items of up to ``block_words`` words together are one automaton, and one pass does all. More are
+dealt to blocks of about that size by hash; then one pass over all documents looks up every window
+in a bitmap of the items' windows (``MOST_BITS`` at most), and only documents with a window that may
+occur go through the blocks' automata, one after the other. So what the driver holds and broadcasts
+is bounded, and the whole table is read once, whatever the number of items.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from textloom.llm import common as C
 
 WINDOW = 13
 BLOCK_WORDS = 200_000
+#: At most two to this power bits (128 MB) tell which windows may occur.
+MOST_BITS = 30
 #: A document is contaminated if the words hit are at least 1 / COVERAGE of its words.
 COVERAGE = 20
 
@@ -171,6 +176,18 @@ class Matcher:
         return out
 
 
+_MATCHERS: dict[tuple, Matcher] = {}
+
+
+def matcher_of(shared, window: int) -> Matcher:
+    """Of a broadcast block, built once in each worker; only the latest is kept."""
+    key = (id(shared.value), window)
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(shared.value, window)
+    return _MATCHERS[key]
+
+
 DDL = "doc_id long, n_words long, first_words array<long>, end_words array<long>, starts array<long>, ends array<long>, items array<string>"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("first_words", "end_words", "starts", "ends")), ("items", pa.list_(pa.string()))])
 
@@ -186,19 +203,75 @@ def merged(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, item_col: str, item_text: str, block_words: int) -> list[list]:
-    """The items in lists of at most block_words words (or one item); null ids are left out."""
-    blocks: list[list] = [[]]
-    words = 0
-    rows = items.select(F.col(item_col).cast("string"), F.coalesce(F.col(item_text).cast("string"), F.lit("")))
-    for item, text in rows.where(F.col(item_col).isNotNull()).toLocalIterator():
-        n = len(text) // 2 + 1
-        if words + n > block_words and blocks[-1]:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((item, text.encode()))
-        words += n
-    return blocks
+def item_table(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    """(item, text) of the items; null ids are left out, null texts are empty."""
+    return items.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).where(F.col("item").isNotNull())
+
+
+def block_count(table: DataFrame, block_words: int) -> int:
+    """Blocks that the items need, by the most words that their lengths allow."""
+    words = table.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0
+    return max(1, -(-int(words) // block_words))
+
+
+def item_block(table: DataFrame, blocks: int, k: int) -> list[tuple[str, bytes]]:
+    """The items of block k, in order."""
+    own = table.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+    return sorted((r["item"], r["text"].encode()) for r in own.collect())
+
+
+def windows(h: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all runs of ``length`` words within documents, and the document of each."""
+    count = np.maximum(np.diff(first) - length + 1, 0)
+    at = C.ragged(first[:-1], count)
+    return C.span_hash(C.prefix_sums(C.mix64(h)), at, at + length), np.repeat(np.arange(len(count)), count)
+
+
+def _words(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    buf, off = C.joined(docs)
+    buf = C.LOWER[buf]
+    s, e, first = C.word_spans(buf, off, C.ALNUM)
+    return C.span_hash(C.prefix_hash(buf), s, e) if len(s) else np.zeros(0, C.U), first
+
+
+class Bitmap:
+    """Which windows may occur in an item: a bit for each fingerprint, and the lengths in use."""
+
+    def __init__(self, bits: int, slots: np.ndarray, lengths: list[int]):
+        self.bits, self.slots, self.lengths = bits, slots, lengths
+
+    @staticmethod
+    def of(table: DataFrame, window: int) -> Bitmap:
+        """From the items in Spark; equal windows and bits combine before the shuffle."""
+
+        def run(batches):
+            for b in C.packed(batches):
+                h, first = _words(C.texts(b.column(1)))
+                n = np.diff(first)
+                for length in range(1, window + 1):
+                    own = n >= window if length == window else n == length
+                    key, doc = windows(h, first, length)
+                    key = np.unique(key[own[doc]]) if len(key) else key
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), length, np.int32)), pa.array(key.view(np.int64))], names=["length", "key"])
+
+        keys = C.materialize(table.mapInArrow(run, "length int, key long").distinct())
+        lengths = {r["length"]: r["count"] for r in keys.groupBy("length").count().collect()}
+        bits = max(10, min(MOST_BITS, (16 * sum(lengths.values())).bit_length()))
+        slots = np.zeros(1 << (bits - 6), np.int64)
+        placed = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("place"))
+        for r in placed.groupBy(F.shiftright("place", 6).alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))").alias("b")).toLocalIterator():
+            slots[r["slot"]] = r["b"]
+        return Bitmap(bits, slots.view(C.U), sorted(lengths))
+
+    def touched(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each document whether a window of it may occur."""
+        out = np.zeros(len(first) - 1, bool)
+        for length in self.lengths:
+            key, doc = windows(h, first, length)
+            place = key >> C.U(64 - self.bits)
+            hit = (self.slots[(place >> C.U(6)).astype(np.int64)] >> (place & C.U(63))) & C.U(1)
+            out[doc[hit == 1]] = True
+        return out
 
 
 def _match(matcher: Matcher, docs: list[bytes]):
@@ -220,20 +293,40 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     Null and empty texts have no words and no hits; items without words match nothing; equal items
     all count. Rows of docs are not merged.
     """
-    blocks = item_blocks(items, item_col, item_text, block_words)
-    own = C.id_text(docs, id_col, text_col)
-    if len(blocks) == 1:
-        return _pass(own, docs.sparkSession.sparkContext.broadcast(blocks[0]), window)
-    own = C.materialize(own.withColumn("row", F.monotonically_increasing_id()))
-    found = _united(own.select("row", "text"), blocks, window).withColumnRenamed("doc_id", "row")
-    return own.select("row", "doc_id").join(found, "row").select(*SCHEMA.names)
+    own, table = C.id_text(docs, id_col, text_col), item_table(items, item_col, item_text)
+    blocks = block_count(table, block_words)
+    if blocks == 1:
+        return _pass(own, docs.sparkSession.sparkContext.broadcast(item_block(table, 1, 0)), window)
+    own = C.materialize(probed(own.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), Bitmap.of(table, window)))
+    found = _united(own.where(F.col("text").isNotNull()).select("row", "text"), table, blocks, window).withColumnRenamed("doc_id", "row")
+    none = F.array().cast("array<long>")
+    clean = own.where(F.col("text").isNull()).select("doc_id", "n_words", *[none.alias(c) for c in SCHEMA.names[2:6]], none.cast("array<string>").alias("items"))
+    hit = own.where(F.col("text").isNotNull()).select("row", "doc_id").join(found, "row").select(*SCHEMA.names)
+    return clean.unionByName(hit)
+
+
+def probed(docs: DataFrame, bitmap: Bitmap) -> DataFrame:
+    """(row, doc_id, n_words, text): the text is null where no window of it can occur in an item."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())])
+
+    def run(batches):
+        for b in C.packed(batches, 2):
+            text = C.texts(b.column(2))
+            h, first = _words(text)
+            yield C.batch(schema, b.column(0), b.column(1), np.diff(first), [t.decode() if x else None for t, x in zip(text, shared.value.touched(h, first), strict=True)])
+
+    return docs.mapInArrow(run, "row long, doc_id long, n_words long, text string")
 
 
-def _united(docs: DataFrame, blocks: list[list], window: int) -> DataFrame:
-    """The matches of several blocks of items, by row number, for (row, text)."""
+def _united(docs: DataFrame, table: DataFrame, blocks: int, window: int) -> DataFrame:
+    """The matches of several blocks of items, by row number, for (row, text). One block at a time
+    is fetched, broadcast and let go."""
     out = None
-    for block in blocks:
-        part = _pass(docs, docs.sparkSession.sparkContext.broadcast(block), window)
+    for k in range(blocks):
+        block = docs.sparkSession.sparkContext.broadcast(item_block(table, blocks, k))
+        part = C.materialize(_pass(docs, block, window))
+        block.unpersist()
         out = part if out is None else out.unionByName(part)
     every = out.groupBy("doc_id").agg(
         F.max("n_words").alias("n_words"),
@@ -257,7 +350,7 @@ def _united(docs: DataFrame, blocks: list[list], window: int) -> DataFrame:
 
 def _pass(docs: DataFrame, items, window: int) -> DataFrame:
     def run(batches):
-        matcher = Matcher(items.value, window)
+        matcher = matcher_of(items, window)
         for b in C.packed(batches):
             n_words, found = _match(matcher, C.texts(b.column(1)))
             at = [found.get(d, ((), (), ())) for d in range(b.num_rows)]
@@ -278,26 +371,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, action: str = "drop", id_co
     spans hit cut out of them, each for one line break (action "cut"). Other documents stay as
     they are, nulls and empty texts among them.
 
-    With one block of items this is one pass without a shuffle. With several, documents are joined
-    to their united ranges by row number; both give the same rows.
+    With one block of items this is one pass without a shuffle. With several, the documents that
+    the bitmap lets through are joined to their united ranges by row number; both give the same rows.
     """
-    spark = docs.sparkSession
-    blocks = item_blocks(items, item_col, item_text, block_words)
-    C.small_batches(docs.sparkSession)
+    spark, table = docs.sparkSession, item_table(items, item_col, item_text)
+    blocks = block_count(table, block_words)
+    C.small_batches(spark)
     at = docs.columns.index(text_col)
-    if len(blocks) > 1:
+    if blocks > 1:
         numbered = C.materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-        texts = numbered.select("__row", F.col(text_col).cast("string").alias("text"))
-        found = report(_united(texts, blocks, window), coverage).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-        joined = numbered.join(found, F.col("__row") == F.col("__id"), "left")
+        texts = numbered.select(F.col("__row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        some = C.materialize(probed(texts, Bitmap.of(table, window)).where(F.col("text").isNotNull()).select("row", "text"))
+        found = report(_united(some, table, blocks, window), coverage).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
         if action == "drop":
-            return joined.where(F.col("__id").isNull()).select(*docs.columns)
-        cut = F.udf(lambda t, s, e: _cut(t.encode(), list(zip(s, e, strict=True))).decode() if s else t)
-        return joined.withColumn(text_col, cut(text_col, "__starts", "__ends")).select(*docs.columns)
-    block = spark.sparkContext.broadcast(blocks[0])
+            return numbered.join(found, F.col("__row") == F.col("__id"), "left_anti").select(*docs.columns)
+        joined = numbered.join(found, F.col("__row") == F.col("__id"), "left").select(*docs.columns, "__starts", "__ends")
+
+        def cut(batches):
+            for b in C.packed(batches, at):
+                rows = zip(b.column(at).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)
+                clean = pa.array([_cut(t.encode(), zip(s, e, strict=True)).decode() if s else t for t, s, e in rows], b.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([*b.columns[:at], clean, *b.columns[at + 1 : -2]], names=b.schema.names[:-2])
+
+        return joined.mapInArrow(cut, docs.schema)
+    block = spark.sparkContext.broadcast(item_block(table, 1, 0))
 
     def run(batches):
-        matcher = Matcher(block.value, window)
+        matcher = matcher_of(block, window)
         for b in C.packed(batches, at):
             text = C.texts(b.column(at))
             n_words, found = _match(matcher, text)

@@ -41,6 +41,9 @@ SCAN = 400_000
 #: Texts are taken in pieces of so many positions (the strings of a piece overlap the next).
 PIECE = 1_000_000
 INDEX_BITS = U(23)
+#: Buckets follow the number of input partitions, up to two to this power: about 130,000 buckets,
+#: of some 800 MB each at 100 TB.
+MOST_BITS = 17
 SEEN, BY_GRAM, BY_RUN, MARK = 0, 1, 2, 3  # kinds of blocks
 
 
@@ -338,7 +341,7 @@ def repeated(docs: DataFrame, bits: int | None = None, most_held: int = HELD, ho
     for (doc_id, text) with unique non-null ids, or equal rows."""
     C.small_batches(docs.sparkSession)
     parts = int(docs.rdd.getNumPartitions())
-    bits = bits or max(4, min(12, parts.bit_length() + 1))
+    bits = bits or max(4, min(MOST_BITS, parts.bit_length() + 1))
 
     def scan(batches):
         held, n = [], 0
