@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+
 # Fixed values.
 SPECIALS = ("<PAD>", "<BOS>", "<EOS>", "<UNK>")
 TAGS = ("<GOAL>", "<CONTEXT>", "<STATE>", "<ERROR>", "<HISTORY>", "<ACTION>", "<GOAL_END>", "<PAD>", "<BOS>", "<EOS>")
@@ -24,7 +26,7 @@ IDS = {t: i for i, t in enumerate(VOCABULARY)}
 IDENTIFIER = r"[A-Za-z_Ͱ-Ͽ][A-Za-z0-9_Ͱ-Ͽ.!?'⟨⟩]*"
 
 
-def pattern(whitespace: str = r"[\s\x1c-\x1f]+", digits: str = r"\d+", escape: str = r"\u") -> str:
+def pattern(whitespace: str = T.WS + "+", digits: str = r"\p{Nd}+", escape: str = r"\u") -> str:
     """Alternatives in order: tags, identifiers, digits, white space, operators (longest first,
     as no operator is a prefix of a later, longer one), any other character."""
     ops = sorted(OPERATORS, key=len, reverse=True)
@@ -35,8 +37,8 @@ def pattern(whitespace: str = r"[\s\x1c-\x1f]+", digits: str = r"\d+", escape: s
 
 def tokenize(c: Column) -> Column:
     """Tokens in order; a run of white space is one space."""
-    raw = F.regexp_extract_all(c, F.lit("(?Us)" + pattern()), F.lit(0))
-    return F.transform(raw, lambda t: F.when(t.rlike(r"(?U)^[\s\x1c-\x1f]"), " ").otherwise(t))
+    raw = F.regexp_extract_all(c, F.lit("(?s)" + pattern()), F.lit(0))
+    return F.transform(raw, lambda t: F.when(t.rlike(f"^{T.WS}"), " ").otherwise(t))
 
 
 def encode(tokens: Column) -> Column:

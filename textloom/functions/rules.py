@@ -93,7 +93,13 @@ def audit_violations(source: Column, policy: Policy = Policy(), content: tuple[s
     """Content audit of a generated source: imports, markers, declarations, content patterns
     (case-sensitive, whole words by regular expression). ``clean`` as in safety_violations()."""
     clean = T.strip_code(source) if clean is None else clean
-    hit = lambda pattern, what, shown: F.when(clean.rlike(pattern), F.lit(f"{what} '{shown}'"))
+
+    def hit(pattern: str, what: str, shown: str) -> Column:
+        # most texts lack the word: a substring search comes before the pattern
+        word = pattern[2:-2] if pattern.startswith(r"\b") and pattern.endswith(r"\b") else ""
+        found = clean.rlike(pattern)
+        return F.when(clean.contains(word) & found if word.isalnum() else found, F.lit(f"{what} '{shown}'"))
+
     rules = [hit(rf"\b{w}\b", "forbidden marker", w) for w in AUDIT_MARKERS] + [hit(rf"\b{w}\b", "forbidden declaration", w) for w in AUDIT_DECLARATIONS]
     return F.concat(import_violations(source, policy), _present(rules + [hit(p, "mathematical content pattern", p) for p in content]))
 
@@ -158,13 +164,13 @@ def _cut(lines: Column) -> Column:
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{T.WS}+|{T.WS}+$", "")
+    return F.regexp_replace(c, rf"^{T.WS}+|{T.WS}+$", "")
 
 
 def normalize_error(message: Column, line: Column, column: Column) -> Column:
     """struct: error_type, line, column, expected_type, actual_type, message (first line), hint, raw_message."""
     m = F.coalesce(message, F.lit(""))
-    types = _told_types(m)
+    types = F.when(_any(m, EXPECTED), _told_types(m))  # other messages name no types
     return F.struct(
         error_type(m).alias("error_type"),
         line.alias("line"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space, with the four separators that only some engines count.
-WS = r"[\s\x1c-\x1f]"
-NOT_WS = r"[^\s\x1c-\x1f]"
+#: Unicode white space, with the four separators that only some engines count; spelled out, as
+#: Java's Unicode classes cost several times as much.
+SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS, NOT_WS = f"[{SPACES}]", f"[^{SPACES}]"
 WORD = r"[A-Za-z_][A-Za-z0-9_.!]*"
-IMPORT = rf"(?md)^[\s\x1c-\x1f]*import[\s\x1c-\x1f]+([A-Za-z_][A-Za-z0-9_.]*)"
+IMPORT = rf"(?md)^{WS}*import{WS}+([A-Za-z_][A-Za-z0-9_.]*)"
 
 
 def fingerprint(c: Column) -> Column:
@@ -24,8 +25,9 @@ def fingerprint_all(parts: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Names of theorems blanked (where a colon follows the name), white space collapsed, ends trimmed."""
-    named = F.regexp_replace(c, rf"(?U)theorem{WS}+{NOT_WS}+{WS}*:", "theorem _ :")
-    return F.trim(F.regexp_replace(named, rf"(?U){WS}+", " "))
+    named = F.when(c.contains("theorem"), F.regexp_replace(c, rf"theorem{WS}+{NOT_WS}+{WS}*:", "theorem _ :")).otherwise(c)
+    # single spaces, most of all runs, stay as they are
+    return F.trim(F.regexp_replace(named, rf"{WS}{{2,}}|[{SPACES}&&[^ ]]", " "))
 
 
 def normalized_fingerprint(c: Column) -> Column:
@@ -39,10 +41,12 @@ def structure_fingerprint(prop: Column, proof: Column) -> Column:
 
 
 def strip_code(c: Column) -> Column:
-    """Block comments, then line comments, to one space each; then string literals to two quotes."""
-    c = F.regexp_replace(c, r"(?sd)/-.*?(-/|$)", " ")
-    c = F.regexp_replace(c, r"--[^\n]*", " ")
-    return F.regexp_replace(c, r'(?s)"(?:[^"\\]|\\.)*"', '""')
+    """Block comments, then line comments, to one space each; then string literals to two quotes.
+    A text without the opening mark of a kind is not searched for it."""
+    where = lambda x, mark, pattern, to: F.when(x.contains(mark), F.regexp_replace(x, pattern, to)).otherwise(x)
+    c = where(c, "/-", r"(?sd)/-.*?(-/|$)", " ")
+    c = where(c, "--", r"--[^\n]*", " ")
+    return where(c, '"', r'(?s)"(?:[^"\\]|\\.)*"', '""')
 
 
 #: String literals of a Python source, those of three quotes first, and comments.
@@ -74,12 +78,12 @@ def token_pattern(word: str) -> str:
 
 def imports(c: Column) -> Column:
     """Modules imported by lines of the raw source, comments included."""
-    return F.regexp_extract_all(c, F.lit("(?U)" + IMPORT), F.lit(1))
+    return F.when(c.contains("import"), F.regexp_extract_all(c, F.lit(IMPORT), F.lit(1))).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def drop_imports(c: Column) -> Column:
     """The source without its import lines."""
-    return F.array_join(F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: ~F.regexp_replace(x, rf"(?U)^{WS}+", "").startswith("import ")), "\n")
+    return F.array_join(F.filter(F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: ~F.regexp_replace(x, rf"^{WS}+", "").startswith("import ")), "\n")
 
 
 def proof_of(c: Column) -> Column:

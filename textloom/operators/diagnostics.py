@@ -25,8 +25,8 @@ def parse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     until = F.coalesce(F.try_element_at("heads", F.col("k") + 2), F.size("lines") + 1)
     own = begun.select("id", (F.col("k") + 1).cast("long").alias("number"), F.element_at("lines", F.col("at")).alias("head"), F.slice("lines", F.col("at") + 1, until - F.col("at") - 1).alias("more"))
     part = lambda g: F.regexp_extract("head", HEADER, g)
-    said = F.regexp_replace(part(5), rf"(?U)^{T.WS}+|{T.WS}+$", "")
-    message = F.array_join(F.concat(F.array(said), F.filter("more", lambda x: x.rlike(rf"(?U){T.NOT_WS}"))), "\n")
+    said = F.regexp_replace(part(5), rf"^{T.WS}+|{T.WS}+$", "")
+    message = F.array_join(F.concat(F.array(said), F.filter("more", lambda x: x.rlike(T.NOT_WS))), "\n")
     return own.select("id", "number", part(4).alias("severity"), part(2).cast("int").alias("line"), part(3).cast("int").alias("column"), message.alias("message"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from textloom.functions import rules as R
 from textloom.functions import text as T
 from textloom.operators import diagnostics
-from textloom.sources import process
+from textloom.sources import io, process
 from textloom.sources.io import Limits
 
 NOT_CHECKED = "RESOURCE_LIMIT"
@@ -35,8 +35,9 @@ def staged(df: DataFrame, source: str, checker: Callable[[DataFrame], DataFrame]
     text = F.coalesce(F.col(source), F.lit(""))
     foreign = R.import_violations(text, policy)
     marked = df.withColumn("__clean", T.strip_code(text)).withColumn("__v", F.when(F.size(unsafe) > 0, unsafe).otherwise(foreign))
+    marked = io.materialize(marked.drop("__clean"))  # both branches read what the rules said
     bad = marked.where(F.size("__v") > 0).select(*df.columns, F.lit("FAIL_SAFETY").alias("status"), F.array(F.array_join("__v", "; ")).alias("messages"), F.array().cast("array<string>").alias("kernel_axioms"))
-    done = checker(marked.where(F.size("__v") == 0).drop("__v", "__clean"))
+    done = checker(marked.where(F.size("__v") == 0).drop("__v"))
     report = R.axiom_report(F.coalesce("axioms_output", F.lit("")))
     extra = R.axiom_violations(report)
     flat = F.array_sort(F.array_distinct(F.flatten(F.transform(report, lambda r: r["axioms"]))))

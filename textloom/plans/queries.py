@@ -64,14 +64,14 @@ def joined_fingerprint(spark, d):
 
 @query("exact_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS fingerprint FROM documents GROUP BY text")
 def exact_dedup(spark, d):
-    out = dedup.keep_first(table(spark, d, "documents"), T.fingerprint(F.col("text")), "doc_id")
+    out = dedup.keep_first(table(spark, d, "documents"), T.fingerprint(F.col("text")), "doc_id", F.col("text").isNull())
     return out.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query("normalized_dedup", f"SELECT min(doc_id) AS doc_id, sha256({_NORMAL.format('text')}) AS fingerprint FROM documents GROUP BY 2")
 def normalized_dedup(spark, d):
     key = T.normalized_fingerprint(F.col("text"))
-    return dedup.keep_first(table(spark, d, "documents"), key, "doc_id").select("doc_id", key.alias("fingerprint"))
+    return dedup.keep_first(table(spark, d, "documents"), key, "doc_id", F.col("text").isNull()).select("doc_id", key.alias("fingerprint"))
 
 
 @query(
@@ -96,7 +96,8 @@ def hash_split(spark, d):
 @query("split_counts", f"WITH {_SPLIT}, kept AS (SELECT min(doc_id) AS doc_id FROM documents GROUP BY {_NORMAL.format('text')}), {_SPLIT.replace('ranked', 'ranked2').replace('split AS', 'split2 AS').replace('FROM documents', 'FROM kept')} SELECT split AS split, count(*) AS n FROM split2 GROUP BY split")
 def split_counts(spark, d):
     """The flagship: fingerprint, first-seen de-duplication, split by hash, counts."""
-    docs = dedup.keep_first(table(spark, d, "documents"), T.normalized_fingerprint(F.col("text")), "doc_id").select("doc_id")
+    docs = dedup.keep_first(table(spark, d, "documents").select("doc_id", "text"), T.normalized_fingerprint(F.col("text")), "doc_id", F.col("text").isNull()).select("doc_id")
+    docs = io.materialize(docs)
     return stats.counts(splits.split(docs, "doc_id", SEED), F.col("split"), "split")
 
 
