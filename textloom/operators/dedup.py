@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 
-def keep_first(df: DataFrame, key: Column, order: str, absent: Column | None = None) -> DataFrame:
+def keep_first(df: DataFrame, key: Column, order: str, absent: Column | None = None, to: str | None = None) -> DataFrame:
     """The row of the smallest order of each key (null is larger than any); of several such rows
     one. A grouped minimum combines before the shuffle, and join and choice are dealt by key and
     order together, so a key with a third of all rows costs no more than others; rows with a null
-    key all stay. ``absent``: when the key is null, if that is told more cheaply than by the key."""
+    key all stay. ``absent``: when the key is null, if that is told more cheaply than by the key.
+    ``to``: a name under which the key is kept."""
     keyed = df.withColumn("__key", key).withColumn("__order", F.struct(F.col(order).alias("o")))  # as a struct, null equals null
     first = keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min(order).alias("o")).select("__key", F.struct("o").alias("__order"))
     kept = keyed.join(first, ["__key", "__order"], "left_semi").dropDuplicates(["__key", "__order"])
-    return kept.select(*df.columns).unionByName(df.where(key.isNull() if absent is None else absent))
+    kept = kept.select(*df.columns, *([F.col("__key").alias(to)] if to else []))
+    rest = df.where(key.isNull() if absent is None else absent)
+    return kept.unionByName(rest.withColumn(to, F.lit(None).cast(kept.schema[to].dataType)) if to else rest)
 
 
 def duplicate_details(df: DataFrame, key: Column, order: str, kind: str) -> DataFrame:

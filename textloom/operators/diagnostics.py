@@ -19,7 +19,8 @@ def parse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A text is cut within its row at its header lines, so nothing is shuffled.
     """
     lines = df.select(F.col(id_col).alias("id"), F.split(F.col(text_col), LINE_END).alias("lines"))
-    places = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(HEADER), i + 1)), lambda i: i.isNotNull())
+    named = lambda x: x.contains(": error") | x.contains(": warning") | x.contains(": info")  # noqa: E731  before the pattern
+    places = F.filter(F.transform("lines", lambda x, i: F.when(named(x) & x.rlike(HEADER), i + 1)), lambda i: i.isNotNull())
     heads = lines.withColumn("heads", places).where(F.size("heads") > 0)
     begun = heads.select("id", "lines", "heads", F.posexplode("heads").alias("k", "at"))
     until = F.coalesce(F.try_element_at("heads", F.col("k") + 2), F.size("lines") + 1)

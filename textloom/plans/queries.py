@@ -64,14 +64,14 @@ def joined_fingerprint(spark, d):
 
 @query("exact_dedup", "SELECT min(doc_id) AS doc_id, sha256(text) AS fingerprint FROM documents GROUP BY text")
 def exact_dedup(spark, d):
-    out = dedup.keep_first(table(spark, d, "documents"), T.fingerprint(F.col("text")), "doc_id", F.col("text").isNull())
-    return out.select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
+    out = dedup.keep_first(table(spark, d, "documents").select("doc_id", "text"), T.fingerprint(F.col("text")), "doc_id", F.col("text").isNull(), "fingerprint")
+    return out.select("doc_id", "fingerprint")
 
 
 @query("normalized_dedup", f"SELECT min(doc_id) AS doc_id, sha256({_NORMAL.format('text')}) AS fingerprint FROM documents GROUP BY 2")
 def normalized_dedup(spark, d):
-    key = T.normalized_fingerprint(F.col("text"))
-    return dedup.keep_first(table(spark, d, "documents"), key, "doc_id", F.col("text").isNull()).select("doc_id", key.alias("fingerprint"))
+    out = dedup.keep_first(table(spark, d, "documents").select("doc_id", "text"), T.normalized_fingerprint(F.col("text")), "doc_id", F.col("text").isNull(), "fingerprint")
+    return out.select("doc_id", "fingerprint")
 
 
 @query(
