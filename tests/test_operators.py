@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,4 +169,9 @@ def test_bpe_learns_from_all_words_in_both_ways(spark):
     assert (b"q", b"u") in expect[:5]
     assert bpe.train(df, "text", 340) == expect
     assert bpe.train(df, "text", 340, on_driver=40) == expect
+    kept = lambda: set(os.listdir(f"{io.shared_dir(spark)}/textloom"))
+    io.materialize(df)  # the folder exists
+    before = kept()
     assert bpe.learn_in_spark(bpe.word_counts(df, "text"), 340, block=50, renew=5) == expect
+    assert bpe.learn_in_spark(bpe.word_counts(df.limit(0), "text"), 340) == []
+    assert kept() == before

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources import io
+
 SPECIALS = ("<PAD>", "<BOS>", "<EOS>", "<UNK>")
 PIECE = r" ?[A-Za-z\x{80}-\x{10ffff}]+| ?[0-9]+| ?[^\sA-Za-z0-9\x{80}-\x{10ffff}]+|\s+"
 #: Distinct words up to which merges are learned on the driver; more are learned from in Spark.
@@ -187,13 +189,13 @@ def learn_in_spark(words: DataFrame, vocab_size: int, block: int = BLOCK_WORDS,
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block))
     try:
-        state = words.select("word", "n").mapInArrow(_pack, BLOCKS_DDL).localCheckpoint()
+        state = io.materialize(words.select("word", "n").mapInArrow(_pack, BLOCKS_DDL))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     while (room := vocab_size - len(merges) - 256 - len(SPECIALS)) > 0:
         if len(fresh) >= renew:
-            old, state, fresh = state, state.mapInArrow(merged(list(fresh)), BLOCKS_DDL).localCheckpoint(), []
-            old.unpersist()
+            old, state, fresh = state, io.materialize(state.mapInArrow(merged(list(fresh)), BLOCKS_DDL)), []
+            io.discard(old)
         table = state.mapInArrow(pairs(list(fresh)), PAIRS_DDL).groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
         chosen = _choose(list(zip(*(table.column(k).to_pylist() for k in range(3)), strict=True)), names, room)
         if not chosen:
@@ -204,6 +206,7 @@ def learn_in_spark(words: DataFrame, vocab_size: int, block: int = BLOCK_WORDS,
             if new == len(names):
                 names.append(names[a] + names[b])
             fresh.append((a, b, new))
+    io.discard(state)
     return merges
 
 

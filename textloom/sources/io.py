@@ -46,6 +46,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialize() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None, mode: str = "FAILFAST") -> DataFrame:
     """Rows of JSON lines; blank lines are skipped, malformed ones fail (or as ``mode`` says)."""
     reader = spark.read.option("mode", mode)
