@@ -50,6 +50,21 @@ def test_context_tree_without_training(spark):
     assert context_tree.score(frame(spark, []), F.lit(True)).count() == 0
 
 
+def test_context_tree_buckets_follow_the_text_and_split_pairs_of_bytes(spark, monkeypatch):
+    keys = np.array([[int.from_bytes(bytes([101, 32, c, 97, 98, d])) for d in range(97, 110)] for c in range(97, 123)], np.uint64).reshape(-1)
+    buckets = context_tree.bucket_of(context_tree.GRAM, keys, 8).reshape(26, -1)
+    assert len(np.unique(buckets)) > 13 and (buckets == buckets[:, :1]).all()
+    cuts = list(context_tree.slices(np.sort(keys), 30))
+    assert sum(len(keys[x]) for x in cuts) == len(keys) and all(len(keys[x]) % 13 == 0 and len(keys[x]) <= 52 for x in cuts) and len(cuts) > 8
+    seen, gather = [], context_tree.gather
+    monkeypatch.setattr(context_tree, "gather", lambda chunks, bits: seen.append(bits) or gather(chunks, bits))
+    monkeypatch.setattr(context_tree, "SHARE", 10, raising=False)
+    rows = [(k, words(random.Random(k), 40)) for k in range(20)]
+    out = {r.doc_id: r.score for r in context_tree.score(frame(spark, rows).coalesce(1), F.col("doc_id") < 15).collect()}
+    tree = brute.ContextTree([t for k, t in rows if k < 15])
+    assert seen[0] >= 7 and all(out[k] == pytest.approx(tree.log10(t), rel=1e-5) for k, t in rows)
+
+
 # --- operator 2 -------------------------------------------------------------------------------
 
 

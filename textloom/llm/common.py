@@ -45,6 +45,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks(bits: int, each: int) -> int:
+    """Partitions for two to the power of ``bits`` buckets: ``each`` buckets to one where this makes
+    64 or more of them, as a partition writes a file."""
+    return max(min(1 << bits, 64), (1 << bits) // each)
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id's text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
@@ -55,7 +61,9 @@ BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows and bytes, for this session; lower settings stay."""
+    """Bounds Arrow batches by rows and bytes, for this session; lower settings stay. Lists are read
+    by rows: read by columns, 4,096 rows of some MB (packed texts) are in memory at once."""
+    spark.conf.set("spark.sql.parquet.enableNestedColumnVectorizedReader", "false")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":

@@ -9,14 +9,14 @@ depths: p = w0 kt0 + (1 - w0)(w1 kt1 + (1 - w1)(...)).
 The corpus enters through exact counts of (context of five bytes, next byte), gathered over all
 texts: those to be scored take part with count 0, so that every byte to be scored has its entry.
 
-1. Texts are packed into chunks of about ``PACK`` bytes, written once. Each chunk sends its
-   distinct grams and words with their counts, in blocks by the two bytes next to the predicted one
-   (words: by hash).
+1. Texts are packed into chunks of about ``PACK`` bytes, written once, as many rows of at most some
+   100 KB (large rows would fill the JVM's heap). Each chunk sends its distinct grams and words with their counts, in blocks by the three bytes next to the predicted
+   one (words: by hash). The number of blocks follows the bytes of the texts.
 2. A bucket merges its blocks and remembers where each chunk's keys are. It holds whole subtrees,
-   so weights are computed bottom-up inside it; only depth 0 and 1 (65,536 nodes at most) meet on
-   the driver.
+   so weights are computed bottom-up inside it, some subtrees at a time; only depth 0 to 2 (the
+   pairs of bytes that occur, 65,536 at most, with 255 nodes each) meet on the driver.
 3. Each bucket answers every chunk with the log probabilities of the chunk's own grams, in the
-   order in which they were sent. A chunk joins its answers by number and is scored at once.
+   order in which they were sent. A chunk meets its answers by number and is scored at once.
 
 No table of the corpus is broadcast or collected, and the texts are read three times at any size.
 
@@ -35,18 +35,24 @@ from textloom.llm import common as C
 
 U = np.uint64
 DEPTH = 5
-TOP = 2
+TOP = 3
 GRAM, WORD = 0, 1
 #: Bytes of text in a chunk (a longer text is a chunk of its own).
 PACK = 8_000_000
+#: Bytes of text in a row of a chunk.
+PIECE = 400_000
 #: Keys held before equal ones are merged.
 HELD = 1_500_000
-#: At most two to this power buckets: there are 65,536 pairs of bytes to deal by.
-MOST_BITS = 16
+#: Bytes of text for each bucket, and at most two to this power buckets.
+SHARE, MOST_BITS = 16_000_000, 20
+#: Keys whose subtrees are computed at once (more, if one subtree has more).
+SLICE = 100_000
 LOG10_2 = np.log10(2.0)
 
-CHUNKS = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary()))])
-CHUNKS_DDL = "chunk long, ids array<long>, learn array<boolean>, texts array<binary>"
+#: id: of the partition (23 bits), the chunk (24) and the row (16 bits).
+CHUNKS = pa.schema([("id", pa.int64()), ("size", pa.int64()), ("ids", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("texts", pa.list_(pa.binary()))])
+CHUNKS_DDL = "id long, size long, ids array<long>, learn array<boolean>, texts array<binary>"
+ROW_BITS = 16
 ASKED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 ASKED_DDL = "kind int, bucket int, chunk long, keys binary, counts binary"
 TABLE = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("total", pa.int64()), ("seen", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.list_(pa.int64())), ("places", pa.list_(pa.binary()))])
@@ -96,28 +102,22 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def bucket_of(kind: int, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Grams by their two nearest context bytes, words by their hash."""
-    return ((C.mix64(keys >> U(8 * (DEPTH - 1))) if kind == GRAM else keys) >> U(64 - bits)).astype(np.int64)
+    """Grams by their TOP nearest context bytes, words by their hash."""
+    return ((C.mix64(keys >> U(8 * (DEPTH + 1 - TOP))) if kind == GRAM else keys) >> U(64 - bits)).astype(np.int64)
 
 
 def pack(docs: DataFrame, limit: int = PACK) -> DataFrame:
-    """(doc_id, text, learn) in chunks: numbers that are unique in the written table, ids, texts."""
+    """(doc_id, text, learn) in chunks, several rows each: numbers that are unique in the written
+    table, ids, texts."""
 
     def run(batches):
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def out():
-            return C.batch(CHUNKS, [number], [[x for b in held for x in b.column(0).to_pylist()]], [[bool(x) for b in held for x in b.column(2).to_pylist()]], [[x for b in held for x in C.texts(b.column(1))]])
-
-        for b in C.packed(batches, limit=min(limit, C.CHUNK)):
+        chunk, row, size = TaskContext.get().partitionId() << 24, 0, 0
+        for b in C.packed(batches, limit=min(limit, PIECE)):
             n = b.column(1).nbytes
-            if held and size + n > limit:
-                yield out()
-                number, held, size = number + 1, [], 0
-            held.append(b)
-            size += n
-        if held:
-            yield out()
+            if row and (size + n > limit or row + 1 >> ROW_BITS):
+                chunk, row, size = chunk + 1, 0, 0
+            yield C.batch(CHUNKS, [chunk << ROW_BITS | row], [n], [b.column(0).to_pylist()], [[bool(x) for x in b.column(2).to_pylist()]], [C.texts(b.column(1))])
+            row, size = row + 1, size + n
 
     return C.materialize(docs.mapInArrow(run, CHUNKS_DDL))
 
@@ -156,16 +156,29 @@ def in_buckets(kind: int, keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.n
 def ask(chunks: DataFrame, bits: int) -> DataFrame:
     """Keys and counts of every chunk, one row for each kind and bucket that it has."""
 
+    def out(chunk, learn, texts):
+        for kind, (keys, counts) in keys_of(texts, learn).items():
+            order, there, cut = in_buckets(kind, keys, bits)
+            keys, counts = keys[order], counts[order].astype(np.int32)
+            spans = [slice(s, e) for s, e in zip(cut[:-1], cut[1:], strict=True)]
+            yield C.batch(ASKED, np.full(len(there), kind), there, np.full(len(there), chunk), pa.array([C.planes(keys[x]) for x in spans], pa.binary()), pa.array([C.planes(counts[x]) for x in spans], pa.binary()))
+
     def run(batches):
+        # should tasks share a file, and so a chunk, each of its parts is asked for by its first row
+        at, last, learn, texts = None, None, [], []
         for b in batches:
-            for chunk, learn, texts in (tuple(b.column(k)[row].as_py() for k in (0, 2, 3)) for row in range(b.num_rows)):
-                for kind, (keys, counts) in keys_of(texts, learn).items():
-                    order, there, cut = in_buckets(kind, keys, bits)
-                    keys, counts = keys[order], counts[order].astype(np.int32)
-                    spans = [slice(s, e) for s, e in zip(cut[:-1], cut[1:], strict=True)]
-                    yield C.batch(ASKED, np.full(len(there), kind), there, np.full(len(there), chunk), pa.array([C.planes(keys[x]) for x in spans], pa.binary()), pa.array([C.planes(counts[x]) for x in spans], pa.binary()))
+            for row, some_learn, some in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if at is not None and row != last + 1:
+                    yield from out(at, learn, texts)
+                    at, learn, texts = None, [], []
+                at, last = row if at is None else at, row
+                learn += some_learn
+                texts += some
+        if at is not None:
+            yield from out(at, learn, texts)
+        C.trim()
 
-    return chunks.mapInArrow(run, ASKED_DDL)
+    return chunks.select("id", "learn", "texts").mapInArrow(run, ASKED_DDL)
 
 
 def gather(chunks: DataFrame, bits: int) -> DataFrame:
@@ -176,11 +189,12 @@ def gather(chunks: DataFrame, bits: int) -> DataFrame:
         at, rows = None, []
 
         def out():
-            keys = [C.unplanes(k, U) for _, k, _ in rows]
-            every = np.unique(np.concatenate(keys))
+            every = np.concatenate([C.unplanes(k, U) for _, k, _ in rows])
+            every.sort()
+            every = every[np.concatenate(([True], every[1:] != every[:-1]))]
             counts, places = np.zeros(len(every), np.int64), []
-            for k, (_, _, c) in zip(keys, rows, strict=True):
-                place = np.searchsorted(every, k)
+            for _, k, c in rows:
+                place = np.searchsorted(every, C.unplanes(k, U))
                 counts[place] += C.unplanes(c, np.int32)
                 places.append(C.planes(place.astype(np.int32)))
             return C.batch(TABLE, [at[0]], [at[1]], [int(counts.sum())], [int((counts > 0).sum())], pa.array([C.planes(every)], pa.binary()), pa.array([C.planes(counts)], pa.binary()), [[x for x, _, _ in rows]], pa.array([places], pa.list_(pa.binary())))
@@ -196,7 +210,7 @@ def gather(chunks: DataFrame, bits: int) -> DataFrame:
             yield out()
         C.trim()
 
-    return C.materialize(ask(chunks, bits).repartition(1 << bits, "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(unite, TABLE_DDL))
+    return C.materialize(ask(chunks, bits).repartition(C.tasks(bits, 4), "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(unite, TABLE_DDL))
 
 
 # --- the tree ---------------------------------------------------------------------------------
@@ -216,14 +230,23 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - np.log(np.pi)
 
 
+def slices(keys: np.ndarray, size: int = SLICE):
+    """Slices of sorted grams of about so many, none cutting a subtree of depth TOP."""
+    if len(keys):
+        tree = keys >> U(8 * (DEPTH + 1 - TOP))
+        head = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1])))
+        head = head[np.concatenate(([True], head[1:] // size != head[:-1] // size))]
+        yield from (slice(s, e) for s, e in zip(head, [*head[1:], len(keys)], strict=True))
+
+
 class Subtrees:
-    """Counts and weights of the nodes of depth TOP to DEPTH over one block of grams."""
+    """Counts and weights of the nodes of depth TOP to DEPTH over some grams."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         self.keys = keys
         self.rows, self.up = [None] * (DEPTH + 1), [None] * (DEPTH + 1)  # up[d]: row of depth d for each row of depth d + 1
         self.rows[DEPTH] = (keys, counts.astype(float))
-        for d in range(DEPTH - 1, -1, -1):
+        for d in range(DEPTH - 1, TOP - 2, -1):
             k, c = self.rows[d + 1]
             # drop the farthest context byte, which stands before the byte itself
             short = ((k >> U(16)) << U(8)) | (k & U(255))
@@ -254,26 +277,26 @@ class Subtrees:
         self.top = below
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        """For depth 1: number of (context byte, node) and log weighted probability summed over
-        the children in this block."""
+        """For depth TOP - 1: number of (context bytes, node) and log weighted probability summed
+        over the children among these grams."""
         k, _ = self.rows[TOP]
         where, what = [], []
         for j in range(8):
             head, w = self.top[j]
             x = k[head]
-            c1 = x >> U(8 * TOP)
-            where.append((c1 * U(256) + (U(1 << j) | ((x & U(255)) >> U(8 - j)))).astype(np.int64))
+            where.append(((x >> U(16)) * U(256) + (U(1 << j) | ((x & U(255)) >> U(8 - j)))).astype(np.int64))
             what.append(w)
         where, what = np.concatenate(where), np.concatenate(what)
         u, inv = np.unique(where, return_inverse=True)
         return u, np.bincount(inv, weights=what)
 
     def log10(self, top: dict) -> np.ndarray:
-        """Log probability of each gram of the block, given the tables of depth 0 and 1."""
+        """Log probability of each gram, given the tables of depth 0 to 2."""
         at = {DEPTH: np.arange(len(self.keys))}
         for d in range(DEPTH - 1, TOP - 1, -1):
             at[d] = self.up[d][at[d + 1]]
         x, c1 = self.keys & U(255), (self.keys >> U(8 * DEPTH)).astype(np.int64)
+        pair = top["at"][(self.keys >> U(8 * (DEPTH - 1))).astype(np.int64)]
         total = np.zeros(len(self.keys))
         for j in range(8):
             p = self.own[DEPTH, j][1]
@@ -282,7 +305,7 @@ class Subtrees:
                 p = w[at[d]] * kt[at[d]] + (1 - w[at[d]]) * p
             node = (U(1 << j) | (x >> U(8 - j))).astype(np.int64)
             bit = ((x >> U(7 - j)) & U(1)) == 1
-            for w, one in ((top["w1"][c1, node], top["p1"][c1, node]), (top["w0"][node], top["p0"][node])):
+            for w, one in ((top["w2"][pair, node], top["p2"][pair, node]), (top["w1"][c1, node], top["p1"][c1, node]), (top["w0"][node], top["p0"][node])):
                 p = w * np.where(bit, one, 1 - one) + (1 - w) * p
             total += np.log10(p)
         return total
@@ -292,32 +315,51 @@ TOPS_DDL = "nodes binary, sums binary, keys binary, counts binary"
 TOPS = pa.schema([(c, pa.binary()) for c in ("nodes", "sums", "keys", "counts")])
 
 
+def mixtures(counts: np.ndarray, kids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For contexts by rows, from the counts of their next bytes and the sums of their children by
+    node: log weighted probability, weight of the node itself and its probability of a one."""
+    w, weight, one = np.zeros(kids.shape), np.ones(kids.shape), np.full(kids.shape, 0.5)
+    for j in range(8):
+        node = slice(1 << j, 2 << j)
+        half = counts.reshape(len(counts), 1 << j, 2, 128 >> j).sum(3)
+        kt = log_kt(half[:, :, 0], half[:, :, 1])
+        w[:, node] = np.logaddexp(kt, kids[:, node]) - np.log(2)
+        weight[:, node] = np.exp(kt - np.log(2) - w[:, node])
+        one[:, node] = (half[:, :, 1] + 0.5) / (half.sum(2) + 1)
+    return w, weight, one
+
+
 def top_tables(blocks_df: DataFrame) -> dict:
-    """Weights and probabilities of depth 0 and 1, from 65,536 nodes at most, on the driver."""
+    """Weights and probabilities of depth 0 to 2, on the driver: 255 nodes for each pair of bytes
+    that occurs (65,536 pairs at most), whose row in the tables is at[pair]."""
 
     def run(batches):
         for b in batches:
             for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = Subtrees(C.unplanes(keys, U), C.unplanes(counts, np.int64))
-                yield C.batch(TOPS, *[pa.array([x.tobytes()], pa.binary()) for x in (*t.sums(), t.rows[1][0].astype(np.int64), t.rows[1][1])])
+                keys, counts = C.unplanes(keys, U), C.unplanes(counts, np.int64)
+                for part in slices(keys):
+                    t = Subtrees(keys[part], counts[part])
+                    yield C.batch(TOPS, *[pa.array([x.tobytes()], pa.binary()) for x in (*t.sums(), t.rows[TOP - 1][0].astype(np.int64), t.rows[TOP - 1][1])])
 
-    kids, counts = np.zeros((256, 256)), np.zeros((256, 256))
+    at, n, kids, counts = np.full(1 << 16, -1, np.int32), 0, np.zeros((256, 256)), np.zeros((256, 256))
     for r in blocks_df.select("keys", "counts").mapInArrow(run, TOPS_DDL).toLocalIterator():
-        np.add.at(kids.reshape(-1), np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["sums"], float))
-        np.add.at(counts.reshape(-1), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], float))
-    n, ones = np.zeros((256, 256)), np.zeros((256, 256))
-    byte = np.arange(256)
-    for j in range(8):
-        node = (1 << j) | (byte >> (8 - j))
-        for x in range(256):
-            n[:, node[x]] += counts[:, x]
-            ones[:, node[x]] += counts[:, x] * ((x >> (7 - j)) & 1)
-    kt1 = log_kt(n - ones, ones)
-    w1 = np.logaddexp(kt1, kids) - np.log(2)
-    n0, ones0 = n.sum(0), ones.sum(0)
-    kt0 = log_kt(n0 - ones0, ones0)
-    w0 = np.logaddexp(kt0, w1.sum(0)) - np.log(2)
-    return {"w1": np.exp(kt1 - np.log(2) - w1), "p1": (ones + 0.5) / (n + 1), "w0": np.exp(kt0 - np.log(2) - w0), "p0": (ones0 + 0.5) / (n0 + 1)}
+        nodes, keys = np.frombuffer(r["nodes"], np.int64), np.frombuffer(r["keys"], np.int64)
+        new = np.unique(keys >> 8)
+        new = new[at[new] < 0]
+        at[new] = np.arange(n, n + len(new))
+        n += len(new)
+        if n > len(kids):
+            kids, counts = (np.concatenate([x, np.zeros((2 * n - len(x), 256))]) for x in (kids, counts))
+        np.add.at(kids, (at[nodes >> 8], nodes & 255), np.frombuffer(r["sums"], float))
+        np.add.at(counts, (at[keys >> 8], keys & 255), np.frombuffer(r["counts"], float))
+    log2, w2, p2 = mixtures(counts[:n], kids[:n])
+    kids1, counts1 = np.zeros((256, 256)), np.zeros((256, 256))
+    pairs = np.flatnonzero(at >= 0)
+    np.add.at(kids1, pairs >> 8, log2[at[pairs]])
+    np.add.at(counts1, pairs >> 8, counts[at[pairs]])
+    log1, w1, p1 = mixtures(counts1, kids1)
+    _, w0, p0 = mixtures(counts1.sum(0, keepdims=True), log1.sum(0, keepdims=True))
+    return {"at": at, "w2": w2, "p2": p2, "w1": w1, "p1": p1, "w0": w0[0], "p0": p0[0]}
 
 
 def answers(tables: DataFrame) -> DataFrame:
@@ -328,8 +370,11 @@ def answers(tables: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for kind, bucket, keys, counts, chunks, places in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                counts = C.unplanes(counts, np.int64)
-                values = Subtrees(C.unplanes(keys, U), counts).log10(top.value).astype(np.float32) if kind == GRAM else np.log10(counts + 1.0)
+                keys, counts = C.unplanes(keys, U), C.unplanes(counts, np.int64)
+                if kind == GRAM:
+                    values = np.concatenate([np.zeros(0, np.float32), *(Subtrees(keys[x], counts[x]).log10(top.value).astype(np.float32) for x in slices(keys))])
+                else:
+                    values = np.log10(counts + 1.0)
                 for k in range(0, len(chunks), 256):
                     some = [C.planes(values[C.unplanes(p, np.int32)]) for p in places[k : k + 256]]
                     yield C.batch(ANSWER, np.full(len(some), kind), np.full(len(some), bucket), chunks[k : k + 256], pa.array(some, pa.binary()))
@@ -344,12 +389,12 @@ PART_DDL = "doc_id long, n_bytes long, n_words long, n_found long, base double,
 PART = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_words", pa.int64()), ("n_found", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def lookups(texts: list[bytes], learn: list[bool], answer: list[dict], bits: int) -> dict:
+def lookups(texts: list[bytes], learn: list[bool], answer: list[tuple[int, int, bytes]], bits: int) -> dict:
     """By kind, a lookup of a chunk's mixed keys and the values in its order."""
     out = {}
     for kind, (keys, _) in keys_of(texts, learn).items():
         order, there, _ = in_buckets(kind, keys, bits)
-        parts = {x["bucket"]: x["values"] for x in answer if x["kind"] == kind}
+        parts = {bucket: values for k, bucket, values in answer if k == kind}
         values = np.concatenate([np.zeros(0), *(C.unplanes(parts[k], np.float32 if kind == GRAM else np.float64) for k in there.tolist())])
         mixed = C.mix64(keys[order])
         by = np.argsort(mixed)
@@ -359,26 +404,44 @@ def lookups(texts: list[bytes], learn: list[bool], answer: list[dict], bits: int
 
 def summed(chunks: DataFrame, answer: DataFrame, bits: int) -> DataFrame:
     """Sums of the answered values over each text's grams and words."""
-    to = answer.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "values")).alias("answer"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    sent = answer.select("chunk", "kind", "bucket", "values", none("ids", "array<long>"), none("learn", "array<boolean>"), none("texts", "array<binary>"))
+    own = chunks.select(F.col("id").alias("chunk"), none("kind", "int"), none("bucket", "int"), none("values", "binary"), "ids", "learn", "texts")
+    rows = sent.unionByName(own).repartition(F.shiftright("chunk", ROW_BITS)).sortWithinPartitions("chunk", F.col("kind").isNull())
+
+    def out(answer, ids, learn, texts):
+        tables = lookups(texts, learn, answer, bits)
+        (gram, logs), (word, known) = tables[GRAM], tables[WORD]
+        at, size = 0, np.cumsum([0, *(len(t) + 16 for t in texts)])
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(size, size[at] + C.CHUNK // 2, "right")) - 1)
+            some = texts[at:stop]
+            buf, start, coded = layout(some)
+            val = np.where(coded[DEPTH:], logs[gram(C.mix64(grams(buf)))], 0).astype(np.float64)
+            h, first = word_hashes(some)
+            found = known[word(C.mix64(h))] if len(h) else np.zeros(0)
+            base, hits = (np.concatenate(([0], np.cumsum(x)))[first] for x in (found, found > 0))
+            yield C.batch(PART, ids[at:stop], [len(t) for t in some], np.diff(first), np.diff(hits), np.diff(base), np.add.reduceat(val, start - DEPTH))
+            at = stop
 
     def run(batches):
+        # the answers to a chunk stand before its first row
+        held = [], [], [], []
         for b in batches:
-            for ids, learn, texts, answer in (tuple(b.column(k)[row].as_py() for k in range(4)) for row in range(b.num_rows)):
-                tables = lookups(texts, learn, answer, bits)
-                (gram, logs), (word, known) = tables[GRAM], tables[WORD]
-                at, size = 0, np.cumsum([0, *(len(t) + 16 for t in texts)])
-                while at < len(texts):
-                    stop = max(at + 1, int(np.searchsorted(size, size[at] + C.CHUNK // 2, "right")) - 1)
-                    own = texts[at:stop]
-                    buf, start, coded = layout(own)
-                    val = np.where(coded[DEPTH:], logs[gram(C.mix64(grams(buf)))], 0).astype(np.float64)
-                    h, first = word_hashes(own)
-                    found = known[word(C.mix64(h))] if len(h) else np.zeros(0)
-                    base, hits = (np.concatenate(([0], np.cumsum(x)))[first] for x in (found, found > 0))
-                    yield C.batch(PART, ids[at:stop], [len(t) for t in own], np.diff(first), np.diff(hits), np.diff(base), np.add.reduceat(val, start - DEPTH))
-                    at = stop
-
-    return chunks.join(to, "chunk").select("ids", "learn", "texts", "answer").mapInArrow(run, PART_DDL)
+            for kind, bucket, values, *row in zip(*(b.column(k).to_pylist() for k in range(1, 7)), strict=True):
+                if kind is not None:
+                    if held[3]:
+                        yield from out(*held)
+                        held = [], [], [], []
+                    held[0].append((kind, bucket, values))
+                else:
+                    for x, y in zip(held[1:], row, strict=True):
+                        x.extend(y)
+        if held[3]:
+            yield from out(*held)
+        C.trim()
+
+    return rows.mapInArrow(run, PART_DDL)
 
 
 def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None, chunk: int = PACK) -> DataFrame:
@@ -392,8 +455,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     C.small_batches(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    bits = bits or max(4, min(MOST_BITS, int(given.rdd.getNumPartitions()).bit_length()))
     chunks = pack(given, chunk)
+    bits = bits or max(4, min(MOST_BITS, int(chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // SHARE).bit_length()))
     tables = gather(chunks, bits)
     n_docs = given.where("learn").count()
     n_words, distinct = tables.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
