@@ -366,6 +366,18 @@ def test_repeated_rows_lose_only_what_starts_earlier(spark, options):
         assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == expect[x.doc_id], x.doc_id
 
 
+def test_buckets_of_repeats_follow_the_text(spark, monkeypatch):
+    r, seen, grouped = random.Random(28), [], C.tasks
+    rows = [(k, "".join(r.choice("abc") for _ in range(400)) * r.randrange(1, 3)) for k in range(40)]
+    monkeypatch.setattr(suffix_dedup, "SHARE", 100, raising=False)
+    monkeypatch.setattr(C, "tasks", lambda bits, each: seen.append((bits, grouped(bits, each))) or grouped(bits, each))
+    out = suffix_dedup.remove_repeats(frame(spark, rows).coalesce(1)).collect()
+    assert seen == [(int(sum(len(t) for _, t in rows) // 100).bit_length(), 64)]
+    expect = brute.removed(rows)
+    assert all((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == expect[x.doc_id] for x in out) and len(out) == 40
+    assert [grouped(bits, 8) for bits in (1, 6, 7, 11)] == [2, 64, 64, 256]
+
+
 # --- operator 9 -------------------------------------------------------------------------------
 
 

@@ -41,9 +41,9 @@ SCAN = 400_000
 #: Texts are taken in pieces of so many positions (the strings of a piece overlap the next).
 PIECE = 1_000_000
 INDEX_BITS = U(23)
-#: Buckets follow the number of input partitions, up to two to this power: about 130,000 buckets,
-#: of some 800 MB each at 100 TB.
-MOST_BITS = 17
+#: Bytes of text for each bucket, and at most two to this power buckets (about 130,000, of some
+#: 800 MB each at 100 TB).
+SHARE, MOST_BITS = 8_000_000, 17
 SEEN, BY_GRAM, BY_RUN, MARK = 0, 1, 2, 3  # kinds of blocks
 
 
@@ -340,8 +340,8 @@ def repeated(docs: DataFrame, bits: int | None = None, most_held: int = HELD, ho
     """(doc_id, spans: packed start and end pairs) of what repeats, several rows for a document;
     for (doc_id, text) with unique non-null ids, or equal rows."""
     C.small_batches(docs.sparkSession)
-    parts = int(docs.rdd.getNumPartitions())
-    bits = bits or max(4, min(MOST_BITS, parts.bit_length() + 1))
+    bits = bits or max(4, min(MOST_BITS, int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] // SHARE).bit_length()))
+    tasks = C.tasks(bits, 8)
 
     def scan(batches):
         held, n = [], 0
@@ -364,10 +364,10 @@ def repeated(docs: DataFrame, bits: int | None = None, most_held: int = HELD, ho
         return grouped(batches, lambda kinds: decide({k: [Runs.unpack(x) for x in v] for k, v in kinds.items()}))
 
     sent = docs.mapInArrow(scan, BLOCK_DDL)
-    found = C.materialize(sent.repartition(1 << (bits - 1), "bucket").sortWithinPartitions("bucket").mapInArrow(first, SPAN_DDL))
+    found = C.materialize(sent.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(first, SPAN_DDL))
     left = found.where(F.length("left") > 0).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("left").alias("left"))
     opened = docs.join(left, docs.doc_id == left.id).select("doc_id", "text", "left").mapInArrow(lambda batches: open_runs(batches, bits), BLOCK_DDL)
-    last = opened.repartition(1 << (bits - 1), "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: grouped(batches, rank_positions), SPAN_DDL)
+    last = opened.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: grouped(batches, rank_positions), SPAN_DDL)
     return C.materialize(found.where(F.length("spans") > 0).select("doc_id", "spans").unionByName(last.select("doc_id", "spans")))
 
 
